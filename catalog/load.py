@@ -1,4 +1,4 @@
 """Imports every query module so that it registers itself."""
 
-from catalog import evaluation  # noqa: F401
+from catalog import cost, evaluation  # noqa: F401
 from catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import table
+from evigraph.functions.scan import ordered_scan, row_no
+from evigraph.session import persist_table
 
 # ------------------------------------------------------------ findings and ground truth
 
@@ -158,3 +160,132 @@ def score_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
         F.col("l_orderkey").alias("ord"),
     )
     return metadata, cases, scored
+
+
+# ------------------------------------------------------------ property graph
+
+SIGNAL_NAMES = [
+    "debug_en", "lock_q", "rst_ni", "cfg_data", "key_reg", "addr_hit", "dma_len", "valid", "data", "TMP_CONST",
+    "csr_mask", "user_mode", "wrapper_top", "tmp", "fuse_mem",
+]
+MODULE_SUFFIXES = ["", "_rsa", "_rst_ctrl", "_dma", "_aes_wrapper", "_core"]
+
+
+def _sql_list(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _mod(p):
+    return f"'m' || (({p}) // 15) || {_sql_list(MODULE_SUFFIXES)}[(({p}) // 15) % 6 + 1]"
+
+
+def _sig(p):
+    return f"'signal:' || {_mod(p)} || '.' || {_sql_list(SIGNAL_NAMES)}[({p}) % 15 + 1]"
+
+
+GRAPH_SQL = f"""
+items AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS item_no,
+    'g' || (l_partkey // 60) AS graph_id, {_mod("l_partkey")} AS module, l_orderkey % 40 * 5 + 200 AS line,
+    ['state_update', 'procedural_assign', 'continuous_assign'][l_suppkey % 3 + 1] AS skind FROM lineitem),
+nodes AS MATERIALIZED (
+  SELECT DISTINCT 'g' || (p_partkey // 60) AS graph_id, 'module:' || {_mod("p_partkey")} AS id, 'Module' AS type, NULL AS scope, {_mod("p_partkey")} AS name,
+    'rtl/' || {_mod("p_partkey")} || '.sv' AS file, 1 AS line_start, 500 AS line_end, NULL AS kind, NULL AS direction, NULL AS decl_raw FROM part
+  UNION ALL
+  SELECT 'g' || (p_partkey // 60), {_sig("p_partkey")}, 'Signal', 'module:' || {_mod("p_partkey")}, {_sql_list(SIGNAL_NAMES)}[p_partkey % 15 + 1],
+    'rtl/' || {_mod("p_partkey")} || '.sv', p_partkey % 15 * 10 + 1, p_partkey % 15 * 10 + 1, ['register', 'port', 'internal', 'implicit'][p_size % 4 + 1],
+    CASE WHEN p_size % 4 = 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'output' ELSE 'input' END END, CASE WHEN p_size % 4 <> 3 THEN 'decl' END FROM part
+  UNION ALL
+  SELECT DISTINCT graph_id, 'instance:' || module || '.u' || (l_suppkey % 5), 'Instance', 'module:' || module, 'u' || (l_suppkey % 5), 'rtl/' || module || '.sv',
+    400 + l_suppkey % 5, 400 + l_suppkey % 5, NULL, NULL, NULL FROM items WHERE l_returnflag = 'R'
+  UNION ALL
+  SELECT DISTINCT graph_id, 'stmt:' || module || ':' || line || ':' || skind, 'StmtSummary', 'module:' || module, skind || ':' || line, 'rtl/' || module || '.sv',
+    line, line, skind, NULL, NULL FROM items WHERE l_returnflag <> 'R'),
+edges AS MATERIALIZED (
+  SELECT graph_id, 'edge:' || CASE l_returnflag WHEN 'A' THEN 'writes' WHEN 'N' THEN 'reads' ELSE 'connects' END || ':' || l_orderkey || '_' || item_no AS id,
+    CASE l_returnflag WHEN 'A' THEN 'writes' WHEN 'N' THEN 'reads' ELSE 'connects' END AS type,
+    CASE WHEN l_returnflag = 'R' THEN {_sig("l_partkey")} ELSE 'stmt:' || module || ':' || line || ':' || skind END AS from_id,
+    CASE WHEN l_returnflag = 'R' THEN {_sig("l_partkey + 15")} ELSE {_sig("l_partkey")} END AS to_id,
+    CASE WHEN l_returnflag = 'R' THEN 'instance:' || module || '.u' || (l_suppkey % 5) END AS via_instance,
+    CASE WHEN l_returnflag = 'N' THEN ['rhs', 'condition', 'case_selector'][l_linenumber % 3 + 1] END AS read_role, l_orderkey AS ok, item_no
+  FROM items)
+"""
+
+
+def _pick(values, index):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+
+
+def _module(p):
+    j = F.floor(p / 15)
+    return F.concat(F.lit("m"), j, _pick(MODULE_SUFFIXES, j))
+
+
+def _signal(p):
+    return F.concat(F.lit("signal:"), _module(p), F.lit("."), _pick(SIGNAL_NAMES, p))
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineitems numbered within their order."""
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return ordered_scan(table(spark, sf, "lineitem"), ["l_orderkey"], order, F.col("l_linenumber"), {"item_no": row_no()})
+
+
+def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of one property graph per 60 parts."""
+    p = F.col("l_partkey")
+    kind = F.when(F.col("l_returnflag") == "A", "writes").when(F.col("l_returnflag") == "N", "reads").otherwise(F.lit("connects"))
+    rows = items(spark, sf).withColumns(
+        {
+            "graph_id": F.concat(F.lit("g"), F.floor(p / 60)),
+            "module": _module(p),
+            "line": (F.col("l_orderkey") % 40 * 5 + 200).cast("int"),
+            "skind": _pick(["state_update", "procedural_assign", "continuous_assign"], F.col("l_suppkey")),
+            "type": kind,
+        }
+    )
+    nothing = F.lit(None).cast("string")
+    part = table(spark, sf, "part")
+    q = F.col("p_partkey")
+    gid, mod = F.concat(F.lit("g"), F.floor(q / 60)), _module(q)
+    file = lambda m: F.concat(F.lit("rtl/"), m, F.lit(".sv"))
+    cols = lambda *c: [x.alias(n) for x, n in zip(c, NODE_COLUMNS)]
+    modules = part.select(*cols(gid, F.concat(F.lit("module:"), mod), F.lit("Module"), nothing, mod, file(mod), F.lit(1), F.lit(500), nothing, nothing, nothing)).distinct()
+    at = (q % 15 * 10 + 1).cast("int")
+    size = F.col("p_size")
+    signals = part.select(
+        *cols(
+            gid, _signal(q), F.lit("Signal"), F.concat(F.lit("module:"), mod), _pick(SIGNAL_NAMES, q), file(mod), at, at,
+            _pick(["register", "port", "internal", "implicit"], size),
+            F.when(size % 4 == 1, F.when(q % 2 == 0, "output").otherwise(F.lit("input"))),
+            F.when(size % 4 != 3, "decl"),
+        )
+    )
+    m, line = F.col("module"), F.col("line")
+    unit = F.concat(F.lit("u"), F.col("l_suppkey") % 5)
+    inst_line = (F.col("l_suppkey") % 5 + 400).cast("int")
+    scope = F.concat(F.lit("module:"), m)
+    inst_id = F.concat(F.lit("instance:"), m, F.lit("."), unit)
+    stmt = F.concat(F.lit("stmt:"), m, F.lit(":"), line.cast("string"), F.lit(":"), "skind")
+    instances = rows.filter("l_returnflag = 'R'").select(
+        *cols(F.col("graph_id"), inst_id, F.lit("Instance"), scope, unit, file(m), inst_line, inst_line, nothing, nothing, nothing)
+    ).distinct()
+    statements = rows.filter("l_returnflag <> 'R'").select(
+        *cols(F.col("graph_id"), stmt, F.lit("StmtSummary"), scope, F.concat_ws(":", "skind", line.cast("string")), file(m), line, line, F.col("skind"), nothing, nothing)
+    ).distinct()
+    nodes = modules.unionByName(signals).unionByName(instances).unionByName(statements)
+    link = F.col("l_returnflag") == "R"
+    edges = rows.select(
+        "graph_id",
+        F.concat(F.lit("edge:"), "type", F.lit(":"), "l_orderkey", F.lit("_"), "item_no").alias("id"),
+        "type",
+        F.when(link, _signal(p)).otherwise(stmt).alias("from_id"),
+        F.when(link, _signal(p + 15)).otherwise(_signal(p)).alias("to_id"),
+        F.when(link, inst_id).alias("via_instance"),
+        F.when(F.col("l_returnflag") == "N", _pick(["rhs", "condition", "case_selector"], F.col("l_linenumber"))).alias("read_role"),
+        F.struct("l_orderkey", "item_no").alias("ord"),
+    )
+    return persist_table(nodes, "nodes"), persist_table(edges, "edges")
+
+
+NODE_COLUMNS = ["graph_id", "id", "type", "scope", "name", "file", "line_start", "line_end", "kind", "direction", "decl_raw"]

@@ -1,9 +1,10 @@
 """Ordered scans (numbering, running sums) that survive a hot key.
 
-A plain window sorts all rows of a key in one task. Keys above ``hot_rows``
-are therefore cut into order-preserving slices: every slice is scanned on its
-own and receives the totals of the slices before it. Results are exact for
-any slicing; keys below the limit take the plain window.
+A plain window sorts all rows of a key in one task. The key sizes are counted
+first; if no key exceeds ``hot_rows`` the plain window is used. Otherwise the
+hot keys are cut into order-preserving slices: every slice is scanned on its
+own and receives the totals of the slices before it. Results are exact for any
+slicing.
 """
 
 from __future__ import annotations
@@ -39,6 +40,17 @@ def last_value(value: Column) -> Scan:
     return Scan("last", value)
 
 
+def _local(scan: Scan, part) -> Column:
+    upto = part.rowsBetween(W.unboundedPreceding, W.currentRow)
+    if scan.kind == "row_no":
+        return F.row_number().over(part).cast("long")
+    if scan.kind == "sum":
+        return F.sum(scan.value).over(upto)
+    if scan.kind == "max_before":
+        return F.max(scan.value).over(part.rowsBetween(W.unboundedPreceding, -1))
+    return F.last(scan.value, ignorenulls=True).over(upto)
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
@@ -56,6 +68,9 @@ def ordered_scan(
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
         .filter(F.col("_n") > hot_rows)
     )
+    if hot.isEmpty():
+        plain = W.partitionBy(*group).orderBy(*order)
+        return base.withColumns({n: _local(s, plain) for n, s in outputs.items()}).select(*columns, *outputs)
     slices = F.ceil(F.col("_n") / F.lit(hot_rows))
     spread = (F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1.0))
     condition = F.lit(True)
@@ -67,21 +82,16 @@ def ordered_scan(
     )
 
     part = W.partitionBy(*group, "_slice").orderBy(*order)
-    upto = part.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = part.rowsBetween(W.unboundedPreceding, -1)
-    local, totals = {}, []
+    local = {name: _local(scan, part) for name, scan in outputs.items()}
+    totals = []
     for name, scan in outputs.items():
         if scan.kind == "row_no":
-            local[name] = F.row_number().over(part).cast("long")
             totals.append(F.count(F.lit(1)).alias(f"_t_{name}"))
         elif scan.kind == "sum":
-            local[name] = F.sum(scan.value).over(upto)
             totals.append(F.sum(scan.value).alias(f"_t_{name}"))
         elif scan.kind == "max_before":
-            local[name] = F.max(scan.value).over(before)
             totals.append(F.max(scan.value).alias(f"_t_{name}"))
         else:
-            local[name] = F.last(scan.value, ignorenulls=True).over(upto)
             ranked = F.when(scan.value.isNotNull(), F.struct(*order))
             totals.append(F.max_by(scan.value, ranked).alias(f"_t_{name}"))
 

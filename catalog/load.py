@@ -1,4 +1,4 @@
 """Imports every query module so that it registers itself."""
 
-from catalog import cost, evaluation, ranges, reduction, search, structure, targets  # noqa: F401
+from catalog import corpus, cost, evaluation, ranges, reduction, search, structure, targets  # noqa: F401
 from catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evigraph.functions.scan import ordered_scan, row_no, text_position
+from evigraph.functions.scan import ordered_scan, row_no, running_sum, text_position
 from evigraph.functions.values import count_where, f1, padded, present, ratio
 
 RUN = ["model_family", "method_name", "repetition"]
@@ -413,8 +413,9 @@ def failure_candidates(findings: DataFrame, gt: DataFrame, traces: DataFrame | N
     missed = runs.join(cases, "input_scope").join(hits, [*group, "related_case_id"], "left_anti")
     missed = ordered_scan(missed, group, [F.col("ord")], F.col("ord"), {"_k": row_no()})
     sizes = missed.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = W.orderBy(*group).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    starts = ordered_scan(
+        sizes, [], [F.col(c) for c in group], text_position(F.concat_ws("\0", *group)), {"_upto": running_sum(F.col("_size"))}
+    ).select(*group, (F.col("_upto") - F.col("_size")).alias("_start"))
     missed = missed.join(starts, group).select(
         *group,
         "run_id",

@@ -23,7 +23,7 @@ def i01(spark, sf):
         F.when(no == 0, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(no == 1, F.concat(F.lit("Answer: "), p, F.lit(" done")))
         .when(no == 2, F.concat(F.lit(" "), p, F.lit("\n"))).when(no == 3, F.concat(F.lit("no json "), "event_id")).otherwise(F.concat(F.lit("``` "), p, F.lit(" trailing")))
     )
-    return table(spark, sf, "events").select("event_id", responses.extract_json(raw).alias("payload"))
+    return responses.extract_json(table(spark, sf, "events").select("event_id", raw.alias("raw")), F.col("raw")).drop("raw")
 
 
 @query(
@@ -80,7 +80,8 @@ def i04(spark, sf):
         .when(no == 6, F.concat(head, F.lit(body + ', "confidence": "low"}}')))
         .otherwise(F.concat(F.lit('{"chain_id": 7, "has_finding": false, "props": '), "props", F.lit("}")))
     )
-    return table(spark, sf, "events").select("event_id", responses.response_problem(responses.extract_json(raw)).alias("failure_stage"))
+    rows = responses.extract_json(table(spark, sf, "events").select("event_id", raw.alias("raw")), F.col("raw"))
+    return responses.response_problem(rows).select("event_id", "failure_stage")
 
 
 # ------------------------------------------------------------ i05 to i07

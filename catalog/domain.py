@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.registry import table
+from catalog.registry import table, texts
 from evigraph.functions.scan import ordered_scan, row_no
 from evigraph.session import persist_table
 
@@ -47,7 +47,7 @@ gt AS (
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = texts(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars")
     labelled = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = docs.join(labelled, "doc_id", "left").withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     h = (F.col("n_chars") + F.col("rep") * 7 + F.col("doc_id")) % 10

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import domain
-from catalog.registry import query, table
+from catalog.registry import query, table, texts
 from evigraph.functions.values import count_where
 from evigraph.operators import clusters, evaluate
 
@@ -475,7 +475,7 @@ m AS (SELECT doc_id, source AS input_scope, {_rules_sql()} AS matched_case_id FR
 SELECT *, CASE WHEN matched_case_id = '' THEN 'FP' ELSE 'TP' END AS detection_match FROM m""",
 )
 def j14(spark, sf):
-    claims = table(spark, sf, "documents").select("doc_id", F.col("source").alias("input_scope"), "text")
+    claims = texts(spark, sf, "documents", "doc_id", "source", "text").select("doc_id", F.col("source").alias("input_scope"), "text")
     return evaluate.match_rules_table(claims, rules_table(spark, sf), ["doc_id"])
 
 
@@ -491,7 +491,7 @@ TERMS = ["the", "of the", "is", "que", ", und", "er", "___"]
     + " FROM p",
 )
 def j15(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    docs = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("t"))
     docs = docs.withColumn("k", evaluate.word_tokens(F.col("t")))
     return docs.select("doc_id", *[evaluate.term_in(F.col("t"), F.col("k"), F.lit(t)).alias(f"hit_{i}") for i, t in enumerate(TERMS)])
 

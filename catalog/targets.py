@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import domain
-from catalog.registry import query, table
+from catalog.registry import query, texts
 from evigraph.functions import rules
 from evigraph.operators import tagging
 from evigraph.session import persist_table
@@ -92,7 +92,7 @@ def points(spark, sf):
     f"SELECT doc_id, unnest({rules_sql('t')}) AS rule_id FROM (SELECT doc_id, lower(text) AS t FROM documents)",
 )
 def d01(spark, sf):
-    lowered = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    lowered = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("low"))
     return lowered.select("doc_id", F.explode(rules.rule_ids(F.col("low"))).alias("rule_id"))
 
 

@@ -23,19 +23,22 @@ USAGE_PATHS = ["usage_metadata", "response_metadata.token_usage", "response_meta
 FORBIDDEN_PATHS = ["gt_cases", "evidence_gt", "case", "cases", "scoring", "finding_review"]
 
 
-def extract_json(text: Column) -> Column:
-    """JSON text of a response without its code fence, else from the first { to the last }; NULL if neither parses."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+\z", "")
-    bare = F.regexp_replace(F.regexp_replace(trimmed, r"^```(?i:json)?\s*", ""), r"\s*```\z", "")
-    clean = F.when(F.startswith(trimmed, F.lit("```")), bare).otherwise(trimmed)
-    inner = F.regexp_extract(clean, r"(?s)\{.*\}", 0)
+def _parses(text: Column) -> Column:
+    # The parser ignores what follows a value; inside brackets it cannot.
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
 
-    def parses(c: Column) -> Column:
-        # The parser ignores what follows a value; inside brackets it cannot.
-        listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-        return F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
 
-    return F.when((clean != "") & parses(clean), clean).when((inner != "") & parses(inner), inner)
+def extract_json(rows: DataFrame, text: Column, out: str = "payload") -> DataFrame:
+    """Adds the JSON text of a response: without its code fence, else from the first { to the last }; NULL if neither parses."""
+    rows = rows.withColumn("_trimmed", F.regexp_replace(text, r"^\s+|\s+\z", ""))
+    bare = F.regexp_replace(F.regexp_replace("_trimmed", r"^```(?i:json)?\s*", ""), r"\s*```\z", "")
+    rows = rows.withColumn("_clean", F.when(F.startswith("_trimmed", F.lit("```")), bare).otherwise(F.col("_trimmed")))
+    rows = rows.withColumn("_whole", (F.col("_clean") != "") & _parses(F.col("_clean")))
+    inner = F.when(~F.col("_whole"), F.nullif(F.regexp_extract("_clean", r"(?s)\{.*\}", 0), F.lit("")))
+    rows = rows.withColumn("_inner", inner)
+    payload = F.when(F.col("_whole"), F.col("_clean")).when(_parses(F.col("_inner")), F.col("_inner"))
+    return rows.withColumn(out, payload).drop("_trimmed", "_clean", "_whole", "_inner")
 
 
 def content_text(blocks: Column) -> Column:
@@ -86,9 +89,10 @@ def _one_of(doc: Column, path: str, values: list[str], required: bool = True) ->
     return _text_ok(doc, path, required) & F.coalesce(F.try_variant_get(doc, path, "string").isin(*values), F.lit(not required))
 
 
-def response_problem(payload: Column) -> Column:
-    """'' for a valid response, else the stage it fails at: json_extract or schema_validate."""
-    doc = F.try_parse_json(payload)
+def response_problem(rows: DataFrame, payload: str = "payload", out: str = "failure_stage") -> DataFrame:
+    """Adds '' for a valid response, else the stage it fails at: json_extract or schema_validate."""
+    rows = rows.withColumn("_doc", F.try_parse_json(F.col(payload)))
+    doc = F.col("_doc")
     flag = _field(doc, "$.has_finding")
     flag_text = F.lower(F.try_variant_get(doc, "$.has_finding", "string"))
     flag_ok = (_kind(flag) == "BOOLEAN") | flag_text.isin("true", "false", "yes", "no", "on", "off", "t", "f", "y", "n", "1", "0")
@@ -107,7 +111,8 @@ def response_problem(payload: Column) -> Column:
     )
     no_body = finding.isNull() | F.coalesce(_kind(finding) == "VOID", F.lit(False))
     valid = _text_ok(doc, "$.chain_id") & F.coalesce(flag_ok, F.lit(False)) & _text_ok(doc, "$.no_finding_reason", False) & (no_body | body_ok)
-    return F.when(payload.isNull() | doc.isNull(), "json_extract").when(~valid, "schema_validate").otherwise(F.lit(""))
+    stage = F.when(F.col(payload).isNull() | doc.isNull(), "json_extract").when(~valid, "schema_validate").otherwise(F.lit(""))
+    return rows.withColumn(out, stage).drop("_doc")
 
 
 ANALYSIS_SCHEMA = (

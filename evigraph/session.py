@@ -26,6 +26,15 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share rows out over all cores when the input has fewer splits than there are cores.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -69,7 +69,7 @@ def test_correlation_of_constants_is_undefined(spark):
 
 def test_usage_and_json(spark):
     df = spark.createDataFrame([("```JSON\n{\"a\": 1}\n```",), ("x {\"a\": 1} y",), ("{\"a\": 1} {\"b\": 2}",), ("",)], "t string")
-    got = [r[0] for r in df.select(responses.extract_json(F.col("t"))).collect()]
+    got = [r["payload"] for r in responses.extract_json(df, F.col("t")).collect()]
     assert got == ['{"a": 1}', '{"a": 1}', None, None]
     keys = spark.createDataFrame([('{"a": {"b\\"c": 1, "finding" : ["prompt"]}}',)], "t string").select(search.json_keys(F.col("t"))).first()[0]
     assert keys == ["a", 'b\\"c', "finding"]

@@ -153,7 +153,7 @@ def j01(spark, sf):
 
 @query(
     "j02_unique_join",
-    """SELECT l_orderkey, string_agg(v, '; ' ORDER BY o) AS ship_years FROM (
+    """SELECT l_orderkey, string_agg(v, '; ' ORDER BY o, v) AS ship_years FROM (
   SELECT l_orderkey, CAST(year(l_shipdate) AS VARCHAR) AS v, min(l_partkey * 10 + l_linenumber) AS o FROM lineitem GROUP BY ALL) GROUP BY 1""",
 )
 def j02(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,11 +39,12 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    made = tempfile.mkdtemp(prefix="evigraph-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return configured if configured else _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="evigraph-")
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -37,14 +39,24 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+
+    A local session without that setting gets a folder of its own; on a cluster a
+    machine-local folder would lose data, so the setting is required there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured if configured else _own_folder()
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="evigraph-")
+    folder = tempfile.mkdtemp(prefix="evigraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def work_path(spark: SparkSession, label: str) -> str:

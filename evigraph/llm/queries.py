@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evigraph.llm import chunk_dedup, language_id, url_reputation
+from evigraph.llm import chunk_dedup, language_id, simhash, url_reputation
 from evigraph.llm.common import table
 
 QUERIES: dict = {}
@@ -66,6 +66,11 @@ def op2(spark, sf):
     return url_reputation.judge(table(spark, sf, "pages"), labels, URL_RULES)
 
 
+@query("op5_simhash_vp_tree")
+def op5(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query(
     "op7_chunk_dedup",
     """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

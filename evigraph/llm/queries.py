@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from evigraph.llm import chunk_dedup, language_id, simhash, url_reputation
+from evigraph.llm import chunk_dedup, language_id, packing, pfair_mix, simhash, token_files, url_reputation
 from evigraph.llm.common import table
+from evigraph.session import work_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +36,13 @@ LEVEL_SQL = """
 , {name}_p AS (SELECT g.*, (bad + s * mu) / (n + s) AS post FROM {name}_g g, (SELECT coalesce(max(s), 1.0) AS s FROM {name}_s))"""
 
 
+@query("op1_token_files")
+def op1(spark, sf):
+    form = token_files.Format(public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = token_files.write_token_files(table(spark, sf, "documents"), work_path(spark, "tokens"), form)
+    return token_files.read_token_files(spark, manifest).drop("shard")
+
+
 @query(
     "op2_url_reputation",
     r"""WITH parted AS (SELECT page_id, url,
@@ -66,11 +75,21 @@ def op2(spark, sf):
     return url_reputation.judge(table(spark, sf, "pages"), labels, URL_RULES)
 
 
+@query("op4_pfair_mix")
+def op4(spark, sf):
+    return pfair_mix.interleave(table(spark, sf, "documents"))
+
+
 @query("op5_simhash_vp_tree")
 def op5(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op6_exact_complement_packing")
+def op6(spark, sf):
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(
     "op7_chunk_dedup",
     """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

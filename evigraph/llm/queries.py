@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evigraph.llm import chunk_dedup, language_id, packing, pfair_mix, simhash, token_files, url_reputation
+from evigraph.llm import chunk_dedup, cross_polytope, language_id, packing, pfair_mix, simhash, token_files, url_reputation
 from evigraph.llm.common import table
 from evigraph.session import work_path
 
@@ -99,6 +99,11 @@ def op7(spark, sf):
     return chunk_dedup.exact_groups(table(spark, sf, "documents"))
 
 
+@query("op8_cross_polytope")
+def op8(spark, sf):
+    return cross_polytope.nearest(table(spark, sf, "embeddings"))
+
+
 @query("op9_language_bayes")
 def op9(spark, sf):
     return language_id.identify(table(spark, sf, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evigraph.llm import chunk_dedup, cross_polytope, language_id, packing, pfair_mix, simhash, token_files, url_reputation
+from evigraph.llm import chunk_dedup, cross_polytope, fm_dedup, language_id, packing, pfair_mix, simhash, token_files, url_reputation
 from evigraph.llm.common import table
 from evigraph.session import work_path
 
@@ -107,3 +107,8 @@ def op8(spark, sf):
 @query("op9_language_bayes")
 def op9(spark, sf):
     return language_id.identify(table(spark, sf, "documents"))
+
+
+@query("op10_fm_index_dedup")
+def op10(spark, sf):
+    return fm_dedup.without_repeats(table(spark, sf, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evigraph.llm import chunk_dedup, cross_polytope, fm_dedup, language_id, packing, pfair_mix, simhash, token_files, url_reputation
+from evigraph.llm import chunk_dedup, cross_polytope, fm_dedup, language_id, ngram_lm, packing, pfair_mix, simhash, token_files, url_reputation
 from evigraph.llm.common import table
 from evigraph.session import work_path
 
@@ -75,6 +75,11 @@ def op2(spark, sf):
     return url_reputation.judge(table(spark, sf, "pages"), labels, URL_RULES)
 
 
+@query("op3_elias_fano_lm")
+def op3(spark, sf):
+    return ngram_lm.score(table(spark, sf, "documents"))
+
+
 @query("op4_pfair_mix")
 def op4(spark, sf):
     return pfair_mix.interleave(table(spark, sf, "documents"))

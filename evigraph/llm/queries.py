@@ -30,17 +30,8 @@ URL_RULES = [
     url_reputation.Rule("allow", "org", "/fr/"),
 ]
 
-LEVEL_SQL = """
-, {name}_s AS (SELECT CASE WHEN sum(n - 1) > 0
-    THEN 1 / least(greatest((sum(power(bad - n * mu, 2) / (n * mu * (1 - mu))) - count(*)) / sum(n - 1), 0.001), 0.5) - 1 ELSE 1.0 END AS s FROM {name}_g WHERE n > 0)
-, {name}_p AS (SELECT g.*, (bad + s * mu) / (n + s) AS post FROM {name}_g g, (SELECT coalesce(max(s), 1.0) AS s FROM {name}_s))"""
-
-
-@query("op1_token_files")
-def op1(spark, sf):
-    form = token_files.Format(public_tokenizers.path("byte_bpe_50k.json"))
-    manifest = token_files.write_token_files(table(spark, sf, "documents"), work_path(spark, "tokens"), form)
-    return token_files.read_token_files(spark, manifest).drop("shard")
+STRENGTH_SQL = """, {name}_s AS (SELECT coalesce(max(CASE WHEN more > 0 THEN 1 / least(greatest((z - k) / more, 0.001), 0.5) - 1 ELSE 1.0 END), 1.0) AS s
+    FROM (SELECT sum(power(bad - n * mu, 2) / (n * mu * (1 - mu))) AS z, count(*) AS k, sum(n - 1) AS more FROM {name}_g WHERE n > 0))"""
 
 
 @query(
@@ -56,12 +47,13 @@ def op1(spark, sf):
 , hosts AS (SELECT host, n, bad, CASE WHEN k = 0 THEN site ELSE array_to_string(parts[-k:], '.') END AS suffix,
     CASE WHEN k = 0 THEN site ELSE array_to_string(parts[-(k + 1):], '.') END AS domain FROM kinds)
 , suffix_g AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS mu FROM hosts, (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS m FROM hosts) GROUP BY 1)"""
-    + LEVEL_SQL.format(name="suffix")
-    + """, domain_g AS (SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.bad) AS bad, any_value(p.post) AS mu FROM hosts h JOIN suffix_p p USING (suffix) GROUP BY 1, 2)"""
-    + LEVEL_SQL.format(name="domain")
-    + """, host_g AS (SELECT h.host, h.n, h.bad, p.post AS mu FROM hosts h JOIN domain_p p USING (domain, suffix))"""
-    + LEVEL_SQL.format(name="host")
-    + """, ab AS (SELECT host, bad + s * mu AS a, n - bad + s * (1 - mu) AS b FROM host_g, (SELECT coalesce(max(s), 1.0) AS s FROM host_s))
+    + STRENGTH_SQL.format(name="suffix")
+    + """, domain_n AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2)
+, domain_g AS (SELECT g.domain, g.suffix, g.n, g.bad, (up.bad - g.bad + s * up.mu) / (up.n - g.n + s) AS mu FROM domain_n g JOIN suffix_g up USING (suffix), suffix_s)"""
+    + STRENGTH_SQL.format(name="domain")
+    + """, host_g AS (SELECT g.host, g.n, g.bad, (up.bad - g.bad + s * up.mu) / (up.n - g.n + s) AS mu FROM hosts g JOIN domain_g up USING (domain, suffix), domain_s)"""
+    + STRENGTH_SQL.format(name="host")
+    + """, ab AS (SELECT host, bad + s * mu AS a, n - bad + s * (1 - mu) AS b FROM host_g, host_s)
 , bounds AS (SELECT host, a / (a + b) AS bad_rate, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM ab)
 , rules(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/'))
 , hit AS (SELECT host, path, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(r.verdict, length(rhost || rpath)) AS verdict

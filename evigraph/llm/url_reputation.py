@@ -1,8 +1,8 @@
 """URL filter: explicit rules first, then the empirical-Bayes reputation of the host.
 
 Labelled page outcomes are shrunk from host to registered domain to suffix: each level's
-rate is a beta-binomial posterior whose prior mean is the posterior mean of the level above,
-and whose strength is estimated from how far the rates of that level differ (moments).
+rate is a beta-binomial posterior whose prior mean is the posterior mean of the level above
+without the group's own pages (they would count twice), and whose strength is estimated from how far the rates of that level differ (moments).
 A page is blocked when the lower posterior bound of its host's bad rate is above a limit.
 DataFrame operations only.
 """
@@ -93,12 +93,12 @@ def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation()) ->
     mean = ((everything["bad"] or 0) + 1) / ((everything["n"] or 0) + 2)
 
     level = lambda *keys: hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    posterior = lambda s: ((F.col("bad") + s * F.col("mu")) / (F.col("n") + s))
+    strength = _strength(level("suffix").withColumn("mu", F.lit(mean)), settings)
     suffixes = level("suffix").withColumn("mu", F.lit(mean))
-    suffixes = suffixes.select("suffix", posterior(_strength(suffixes, settings)).alias("mu"))
-    domains = level("domain", "suffix").join(suffixes, "suffix")
-    domains = persist_table(domains.select("domain", "suffix", posterior(_strength(domains, settings)).alias("mu")), "domains")
-    leaves = hosts.join(domains, ["domain", "suffix"])
+    domains = persist_table(level("domain", "suffix").alias("g").join(suffixes.alias("up"), "suffix").select("domain", "suffix", *_below(strength)), "domains")
+    strength = _strength(domains, settings)
+    leaves = hosts.alias("g").join(domains.alias("up"), ["domain", "suffix"]).select("host", *_below(strength))
+    leaves = persist_table(leaves, "leaves")
     strength = _strength(leaves, settings)
     a = F.col("bad") + strength * F.col("mu")
     b = F.col("n") - F.col("bad") + strength * (1 - F.col("mu"))
@@ -106,6 +106,12 @@ def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation()) ->
     return leaves.select("host", "n", "bad", (a / (a + b)).alias("mean"), (a / (a + b) - settings.deviations * deviation).alias("lower"))
 
 
+def _below(strength: float) -> list[Column]:
+    """Counts of a group and its prior mean: the posterior mean of the parent without the group's own pages."""
+    others, bad = F.col("up.n") - F.col("g.n"), F.col("up.bad") - F.col("g.bad")
+    return [F.col("g.n"), F.col("g.bad"), ((bad + strength * F.col("up.mu")) / (others + strength)).alias("mu")]
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], settings: Reputation = Reputation()) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, lower) for every row of ``pages`` (page_id, url).
 

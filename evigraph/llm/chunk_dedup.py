@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evigraph.llm.common import whole_text
+from evigraph.llm.common import by_number, whole_text
 from evigraph.session import persist_table
 
 #: A chunk ends at the first sentence or line end after this many characters, at the latest after MAX_CHUNK.
@@ -80,7 +80,8 @@ def _told_apart(prepared: DataFrame, pieces: DataFrame, clashes: DataFrame, dige
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept; repeats of the staying row go too."""
     stay = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumns({"_id": F.col("doc_id"), "_sha": F.sha2(whole_text().cast("binary"), 256)}).alias("r")
+    numbered, names = by_number(docs)
+    rows = numbered.withColumns({"_id": F.col(names["doc_id"]), "_sha": F.sha2(whole_text(names["text"]).cast("binary"), 256)}).alias("r")
     same = F.col("r._id").eqNullSafe(F.col("s._id")) & (F.col("r._sha") == F.col("s._sha"))
-    kept = rows.join(stay.alias("s"), same, "left_semi")
-    return kept.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    kept = rows.join(stay.alias("s"), same, "left_semi").dropDuplicates(["_id", "_sha"])
+    return kept.select(*names.values()).toDF(*names)

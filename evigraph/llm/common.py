@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def by_number(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ... so that no name can clash, and the new name of each old one."""
+    names = {old: f"c{i}" for i, old in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(text, *LOWER)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import id_bucket
+from evigraph.llm.common import by_number, id_bucket
 
 UNDETERMINED = "und"
 
@@ -167,6 +167,6 @@ def confident(docs: DataFrame, least: float = 0.5, settings: Settings = Settings
     """``docs`` without texts that have no letter or whose language is less likely than ``least``; all columns kept."""
     labelled = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
     languages, weights = train(labelled, settings)
-    columns = docs.columns
-    judged = predict(docs, languages, weights, settings, columns)
-    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*columns)
+    rows, names = by_number(docs)
+    judged = predict(rows.withColumn("text", F.col(names["text"])), languages, weights, settings, list(names.values()))
+    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*names.values()).toDF(*names)

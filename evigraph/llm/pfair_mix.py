@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import rank_within
+from evigraph.llm.common import by_number, rank_within
 from evigraph.session import persist_table
 
 
@@ -144,7 +144,7 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with all columns, in the order of the schedule."""
-    placed = interleave(docs, weights, settings).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "position")
-    placed = placed.withColumn("_copy", F.lit(0)).groupBy("_id", "_source").agg(F.min("position").alias("_position"))
-    same = docs["doc_id"].eqNullSafe(placed["_id"]) & docs["source"].eqNullSafe(placed["_source"])
-    return docs.join(placed, same, "left").sort("_position").select(*docs.columns)
+    placed = interleave(docs, weights, settings).groupBy("doc_id", "source").agg(F.min("position").alias("position")).alias("p")
+    rows, names = by_number(docs)
+    same = F.col(names["doc_id"]).eqNullSafe(F.col("p.doc_id")) & F.col(names["source"]).eqNullSafe(F.col("p.source"))
+    return rows.join(placed, same, "left").sort("p.position").select(*names.values()).toDF(*names)

@@ -173,7 +173,7 @@ def b07(spark, sf):
     kind = F.when(F.col("event_type").isin("click", "error"), F.col("event_type"))
     events = table(spark, sf, "events").withColumn("kind", kind)
     order = [F.col("ts"), F.col("event_id")]
-    filled = ordered_scan(events, ["user_id"], order, F.unix_micros(F.col("ts").cast("timestamp")), {"filled": last_value(F.col("kind"))})
+    filled = ordered_scan(events, ["user_id"], order, {"filled": last_value(F.col("kind"))})
     rows = filled.select(F.lit("event").alias("what"), F.concat(F.lit("u"), "user_id").alias("file"), "event_id", "filled")
     return ports.unionByName(rows, allowMissingColumns=True)
 

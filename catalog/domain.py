@@ -228,7 +228,7 @@ def _signal(p):
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """Lineitems numbered within their order."""
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    return ordered_scan(table(spark, sf, "lineitem"), ["l_orderkey"], order, F.col("l_linenumber"), {"item_no": row_no()})
+    return ordered_scan(table(spark, sf, "lineitem"), ["l_orderkey"], order, {"item_no": row_no()})
 
 
 def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from catalog import domain
@@ -55,7 +59,7 @@ def _csv(spark, sf):
 
 @query("a03_csv_scan", CSV_SQL)
 def a03(spark, sf):
-    rows = tables.read_csv(spark, _csv(spark, sf), COLUMNS)
+    rows = tables.read_csv(spark, _csv(spark, sf), ["note", "doc_id", "text", "lang"], True)
     return rows.select("doc_id", "lang", "note", F.md5("text").alias("digest"))
 
 
@@ -63,7 +67,7 @@ def a03(spark, sf):
 def a04(spark, sf):
     path = _csv(spark, sf)
     header = spark.read.text(path).filter("value LIKE 'doc_id,lang%'").select(F.col("value").alias("header")).distinct()
-    return header.withColumn("n_rows", tables.read_csv(spark, path, COLUMNS).agg(F.count(F.lit(1))).scalar()).select("n_rows", "header")
+    return header.withColumn("n_rows", tables.read_csv(spark, path, COLUMNS, True).agg(F.count(F.lit(1))).scalar()).select("n_rows", "header")
 
 
 @query("a05_json_scan", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
@@ -125,16 +129,27 @@ def a09(spark, sf):
     return docs.select("scope_id", "l_orderkey", F.explode("items").alias("i")).select("scope_id", "l_orderkey", "i.*")
 
 
+def _write_answers(root, batches):
+    """Run folders as a pipeline leaves them: an indented answer, and other JSON files beside it."""
+    for batch in batches:
+        for conv_id, turn, role, text in batch.itertuples(index=False):
+            store, folder = pafs.FileSystem.from_uri(f"{root}/models/{role}/c{conv_id}/rep_{turn}")
+            store.create_dir(folder, recursive=True)
+            answer = {"conv_id": conv_id, "findings": [{"summary": line} for line in text.split("\n")]}
+            for name, content in (("final_answer.json", answer), ("run_metadata.json", {"conv_id": -1, "findings": None})):
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(json.dumps(content, indent=2).encode())
+        yield pd.DataFrame({"n": [len(batch)]})
+
+
 @query(
     "a10_run_output_scan",
-    """SELECT conv_id, role AS model_family, 'c' || (conv_id % 10) AS input_scope, CAST(turn % 3 AS VARCHAR) AS repetition, len(string_split(text, chr(10))) AS n_findings FROM conversations WHERE role = 'assistant'""",
+    """SELECT conv_id, role AS model_family, 'c' || conv_id AS input_scope, CAST(turn AS VARCHAR) AS repetition, len(string_split(text, chr(10))) AS n_findings FROM conversations WHERE role = 'assistant'""",
 )
 def a10(spark, sf):
     root = work_path(spark, "runs")
-    findings = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("summary")))
-    table(spark, sf, "conversations").select(
-        "conv_id", findings.alias("findings"), F.col("role").alias("models"), F.concat(F.lit("c"), F.col("conv_id") % 10).alias("scope"), (F.col("turn") % 3).alias("rep")
-    ).write.partitionBy("models", "scope", "rep").json(root)
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").repartition(8)
+    rows.mapInPandas(lambda batches: _write_answers(root, batches), "n long").write.format("noop").mode("append").save()
     rows = files.scan_run_outputs(spark, root, "conv_id bigint, findings array<struct<summary:string>>", "assistant")
     return rows.select("conv_id", "model_family", "input_scope", "repetition", F.size("findings").alias("n_findings"))
 

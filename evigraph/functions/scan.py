@@ -1,10 +1,9 @@
 """Ordered scans (numbering, running sums) that survive a hot key.
 
-A plain window sorts all rows of a key in one task. The key sizes are counted
-first; if no key exceeds ``hot_rows`` the plain window is used. Otherwise the
-hot keys are cut into order-preserving slices: every slice is scanned on its
-own and receives the totals of the slices before it. Results are exact for any
-slicing.
+A plain window sorts all rows of a key in one task. Here rows are dealt by range over
+the keys and the whole order, so a key of any size is cut into slices in order; every
+slice is scanned on its own and starts from the totals of the slices before it. There
+is one plan for all sizes, and the result does not depend on where the cuts fall.
 """
 
 from __future__ import annotations
@@ -15,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HOT_ROWS = 2_000_000
-
+from evigraph.session import persist_table
 
 @dataclass(frozen=True)
 class Scan:
@@ -52,73 +50,30 @@ def _local(scan: Scan, part) -> Column:
 
 
 def ordered_scan(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    slice_by: Column,
-    outputs: dict[str, Scan],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[Column], outputs: dict[str, Scan], slices: int | None = None
 ) -> DataFrame:
-    """Add one column per scan; ``slice_by`` is numeric and rises with ``order``."""
-    columns = df.columns
-    base = df.withColumns({"_all": F.lit(0), "_pos": slice_by.cast("double")})
-    group = ["_all", *keys]
-    hot = (
-        base.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-        .filter(F.col("_n") > hot_rows)
-    )
-    if hot.isEmpty():
-        plain = W.partitionBy(*group).orderBy(*order)
-        return base.withColumns({n: _local(s, plain) for n, s in outputs.items()}).select(*columns, *outputs)
-    slices = F.ceil(F.col("_n") / F.lit(hot_rows))
-    spread = (F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1.0))
-    condition = F.lit(True)
-    left, right = base.alias("l"), hot.alias("h")
-    for name in group:
-        condition = condition & F.col(f"l.{name}").eqNullSafe(F.col(f"h.{name}"))
-    sliced = left.join(right, condition, "left").select(
-        "l.*", F.coalesce(F.floor(spread * slices), F.lit(0)).alias("_slice")
-    )
-
-    part = W.partitionBy(*group, "_slice").orderBy(*order)
-    local = {name: _local(scan, part) for name, scan in outputs.items()}
-    totals = []
-    for name, scan in outputs.items():
-        if scan.kind == "row_no":
-            totals.append(F.count(F.lit(1)).alias(f"_t_{name}"))
-        elif scan.kind == "sum":
-            totals.append(F.sum(scan.value).alias(f"_t_{name}"))
-        elif scan.kind == "max_before":
-            totals.append(F.max(scan.value).alias(f"_t_{name}"))
-        else:
-            ranked = F.when(scan.value.isNotNull(), F.struct(*order))
-            totals.append(F.max_by(scan.value, ranked).alias(f"_t_{name}"))
+    """Add one column per scan over ``order`` within ``keys``; ``slices`` defaults to the shuffle width.
 
-    scanned = sliced.withColumns(local)
-    earlier = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = {}
-    for name, scan in outputs.items():
-        total = F.col(f"_t_{name}")
-        if scan.kind in ("row_no", "sum"):
-            carried[f"_c_{name}"] = F.sum(total).over(earlier)
-        elif scan.kind == "max_before":
-            carried[f"_c_{name}"] = F.max(total).over(earlier)
-        else:
-            carried[f"_c_{name}"] = F.last(total, ignorenulls=True).over(earlier)
-    carry = (
-        sliced.join(hot.select(*group), on=[sliced[n].eqNullSafe(hot[n]) for n in group], how="left_semi")
-        .groupBy(*group, "_slice")
-        .agg(*totals)
-        .withColumns(carried)
-        .filter(F.col("_slice") > 0)
-        .select(*group, "_slice", *carried)
-    )
-    s, c = scanned.alias("s"), carry.alias("c")
+    The sliced rows are written once, as both passes over them must see the same cuts. Only a key that
+    lies across a cut needs totals carried in, which is at most one key per cut: that table is broadcast.
+    """
+    columns = df.columns
+    by = [*[F.col(k) for k in keys], *order]
+    dealt = df.repartitionByRange(*by) if slices is None else df.repartitionByRange(slices, *by)
+    sliced = persist_table(dealt.withColumn("_slice", F.spark_partition_id()), "ordered")
+
+    part = W.partitionBy(*keys, "_slice").orderBy(*order)
+    scanned = sliced.withColumns({name: _local(scan, part) for name, scan in outputs.items()})
+    totals = [_total(scan, order).alias(f"_t_{name}") for name, scan in outputs.items()]
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = {f"_c_{name}": _carried(scan, F.col(f"_t_{name}"), earlier) for name, scan in outputs.items()}
+    ends = sliced.groupBy(*keys, "_slice").agg(*totals).withColumns({"_before": F.count(F.lit(1)).over(earlier), **carried})
+    carry = ends.filter("_before > 0").select(*keys, "_slice", *carried)
+
+    s, c = scanned.alias("s"), F.broadcast(carry).alias("c")
     condition = F.col("s._slice") == F.col("c._slice")
-    for name in group:
+    for name in keys:
         condition = condition & F.col(f"s.{name}").eqNullSafe(F.col(f"c.{name}"))
-    joined = s.join(c, condition, "left")
     final = []
     for name, scan in outputs.items():
         own, carry_in = F.col(f"s.{name}"), F.col(f"c._c_{name}")
@@ -128,10 +83,22 @@ def ordered_scan(
             final.append(F.greatest(own, carry_in).alias(name))
         else:
             final.append(F.coalesce(own, carry_in).alias(name))
-    return joined.select(*[F.col(f"s.{n}") for n in columns], *final)
+    return s.join(c, condition, "left").select(*[F.col(f"s.{n}") for n in columns], *final)
+
+
+def _total(scan: Scan, order: list[Column]) -> Column:
+    if scan.kind == "row_no":
+        return F.count(F.lit(1))
+    if scan.kind == "sum":
+        return F.sum(scan.value)
+    if scan.kind == "max_before":
+        return F.max(scan.value)
+    return F.max_by(scan.value, F.when(scan.value.isNotNull(), F.struct(*order)))
 
 
-def text_position(value: Column) -> Column:
-    """A number that rises with the byte order of a string (its first six bytes)."""
-    head = F.rpad(F.hex(F.encode(F.substring(value, 1, 6), "UTF-8")), 12, "0")
-    return F.conv(F.substring(head, 1, 12), 16, 10).cast("double")
+def _carried(scan: Scan, total: Column, earlier) -> Column:
+    if scan.kind in ("row_no", "sum"):
+        return F.sum(total).over(earlier)
+    if scan.kind == "max_before":
+        return F.max(total).over(earlier)
+    return F.last(total, ignorenulls=True).over(earlier)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evigraph.functions.scan import ordered_scan, row_no, running_sum, text_position
+from evigraph.functions.scan import ordered_scan, row_no, running_sum
 from evigraph.functions.values import count_where, f1, padded, present, ratio
 
 RUN = ["model_family", "method_name", "repetition"]
@@ -400,7 +400,7 @@ def failure_candidates(findings: DataFrame, gt: DataFrame, traces: DataFrame | N
             "related_case_id": F.coalesce("matched_case_id", F.lit("")),
         }
     ).filter(F.col("candidate_reason").isNotNull())
-    failed = ordered_scan(failed.select(*FAILURE_COLUMNS, "ord"), [], [F.col("ord")], F.col("ord"), {"_n": row_no()})
+    failed = ordered_scan(failed.select(*FAILURE_COLUMNS, "ord"), [], [F.col("ord")], {"_n": row_no()})
 
     group = ["model_family", "method_name", "input_scope", "repetition"]
     runs = findings.groupBy(*group).agg(
@@ -411,10 +411,10 @@ def failure_candidates(findings: DataFrame, gt: DataFrame, traces: DataFrame | N
     )
     cases = gt.select("input_scope", F.col("case_id").alias("related_case_id"), F.col("case_description").alias("summary"), "ord")
     missed = runs.join(cases, "input_scope").join(hits, [*group, "related_case_id"], "left_anti")
-    missed = ordered_scan(missed, group, [F.col("ord")], F.col("ord"), {"_k": row_no()})
+    missed = ordered_scan(missed, group, [F.col("ord")], {"_k": row_no()})
     sizes = missed.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
     starts = ordered_scan(
-        sizes, [], [F.col(c) for c in group], text_position(F.concat_ws("\0", *group)), {"_upto": running_sum(F.col("_size"))}
+        sizes, [], [F.col(c) for c in group], {"_upto": running_sum(F.col("_size"))}
     ).select(*group, (F.col("_upto") - F.col("_size")).alias("_start"))
     missed = missed.join(starts, group).select(
         *group,

@@ -175,11 +175,9 @@ def mark_registers(signals: DataFrame, refs: DataFrame) -> DataFrame:
     return signals.join(updated, ["graph_id", "module", "name"], "left").withColumn("kind", kind).drop("_reg")
 
 
-def number_edges(edges: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def number_edges(edges: DataFrame, slices: int | None = None) -> DataFrame:
     """Running edge number per graph: connects first, then statements in order."""
-    slice_by = F.col("ord.phase") * F.lit(1e15) + F.col("ord.o1")
-    limit = {} if hot_rows is None else {"hot_rows": hot_rows}
-    rows = ordered_scan(edges, ["graph_id"], [F.col("ord")], slice_by, {"edge_no": row_no()}, **limit)
+    rows = ordered_scan(edges, ["graph_id"], [F.col("ord")], {"edge_no": row_no()}, slices)
     return rows.withColumn("id", F.concat(F.lit("edge:"), "type", F.lit(":"), "edge_no"))
 
 

@@ -197,7 +197,7 @@ def outcomes(rows: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("verdict", F.lit("discarded")))
     )
     rows = rows.withColumn("status", status)
-    accepted = ordered_scan(rows.filter("status = 'accepted'"), ["scope_id"], [F.col("ord")], F.col("ord"), {"_n": row_no()})
+    accepted = ordered_scan(rows.filter("status = 'accepted'"), ["scope_id"], [F.col("ord")], {"_n": row_no()})
     ids = accepted.select("scope_id", "chain_id", padded("F-", F.col("_n"), 3).alias("finding_id"))
     return rows.join(ids, ["scope_id", "chain_id"], "left").fillna("", ["finding_id"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigraph.functions import rules
-from evigraph.functions.scan import ordered_scan, row_no, text_position
+from evigraph.functions.scan import ordered_scan, row_no
 from evigraph.functions.values import contains_any, count_where
 
 EVIDENCE = [
@@ -36,7 +36,7 @@ def statement_kind(kind: Column, name: Column) -> Column:
     return F.coalesce(F.nullif(kind, F.lit("")), F.split_part(name, F.lit(":"), F.lit(1)))
 
 
-def _incident(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _incident(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """Edges seen from the signal they touch, with the node at the other end (dangling ends dropped)."""
     ends = nodes.select(
         "graph_id", F.col("id").alias("other_id"), statement_kind(F.col("kind"), F.col("name")).alias("other_kind")
@@ -45,14 +45,20 @@ def _incident(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.filter("type = 'connects'").select(
         "graph_id", F.col("from_id").alias("node_id"), F.col("to_id").alias("other_id"), "type", "read_role", "ord", F.lit(1).alias("side")
     )
-    return into.unionByName(out).join(ends, ["graph_id", "other_id"])
+    touching = into.unionByName(out)
+    if only is not None:
+        touching = touching.join(only.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi")
+    return touching.join(ends, ["graph_id", "other_id"])
 
 
-def evidence_flags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One mode column per predicate (explicit, inferred or unavailable) from a single aggregation."""
+def evidence_flags(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """One mode column per predicate (explicit, inferred or unavailable) from a single aggregation.
+
+    Edges of signals outside ``only`` (graph_id, node_id) are dropped before they are joined or aggregated.
+    """
     role = F.lower(F.coalesce("read_role", F.lit("")))
     conditional = role.isin("condition", "case_selector") | F.col("other_kind").isin("condition", "case_branch")
-    seen = _incident(nodes, edges).groupBy("graph_id", "node_id").agg(
+    seen = _incident(nodes, edges, only).groupBy("graph_id", "node_id").agg(
         F.bool_or((F.col("type") == "writes") & (F.col("other_kind") == "state_update")).alias("_update"),
         F.bool_or((F.col("type") == "reads") & conditional).alias("_cond"),
         F.bool_or(F.col("type") == "connects").alias("_conn"),
@@ -106,7 +112,7 @@ def candidate_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Signals with at least one rule left, their roles, rules and evidence modes."""
     usable = name_filter(signals_of(nodes)).withColumn("_matched", context_rules(F.col("low"), F.col("context")))
     usable = usable.filter(F.size("_matched") > 0).select("graph_id", "node_id", "_matched")
-    rows = evidence_flags(nodes, edges).join(usable, ["graph_id", "node_id"])
+    rows = evidence_flags(nodes, edges, usable).join(usable, ["graph_id", "node_id"])
     has = {e: F.col(e) != "unavailable" for e in EVIDENCE}
     any_mode = reduce(lambda a, b: a | b, has.values())
     rows = rows.filter(any_mode & ~rules.weak_handshake(F.col("low"), F.col("about")))
@@ -187,7 +193,7 @@ def accesses(points: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int =
 def make_targets(points: DataFrame) -> DataFrame:
     """Target ids numbered over (module, name, node) within each graph."""
     rows = ordered_scan(
-        points, ["graph_id"], [F.col("module"), F.col("name"), F.col("node_id")], text_position(F.col("module")), {"seq": row_no()}
+        points, ["graph_id"], [F.col("module"), F.col("name"), F.col("node_id")], {"seq": row_no()}
     )
     return rows.withColumn("target_id", F.concat_ws(":", F.lit("target"), "module", "name", F.col("seq").cast("string")))
 

@@ -54,12 +54,20 @@ def discover_scopes(paths: DataFrame, path: str, selected: list[str] | None = No
 RUN_PATH = r"models[/=]([^/]+)/(?:scope=)?([^/]+)/rep[_=-]?([^/]+)/"
 
 
-def scan_run_outputs(spark: SparkSession, root: str, schema: str, model: str | None = None) -> DataFrame:
-    """One row per stored answer with model, scope and repetition taken from its path."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+ANSWER_FILE = "final_answer.json"
+
+
+def scan_run_outputs(spark: SparkSession, root: str, schema: str, model: str | None = None, name: str = ANSWER_FILE) -> DataFrame:
+    """One row per stored answer with model, scope and repetition taken from its path.
+
+    An answer is one JSON document of any layout in a file called ``name``; other files beside it are not read, and
+    neither are other models' folders. A file that is no JSON fails. ``path`` gives the order of the answers.
+    """
+    folder = f"{root.rstrip('/')}/models" + (f"/{model}" if model else "")
+    options = {"recursiveFileLookup": True, "pathGlobFilter": name, "multiLine": True, "mode": "FAILFAST"}
+    rows = spark.read.schema(schema).options(**options).json(folder)
     part = lambda g: F.regexp_extract("_metadata.file_path", RUN_PATH, g)
-    rows = rows.select("*", part(1).alias("model_family"), part(2).alias("input_scope"), part(3).alias("repetition"))
-    return rows if model is None else rows.filter(F.col("model_family") == model)
+    return rows.select("*", F.col("_metadata.file_path").alias("path"), part(1).alias("model_family"), part(2).alias("input_scope"), part(3).alias("repetition"))
 
 
 def successful_runs(manifest: DataFrame) -> DataFrame:

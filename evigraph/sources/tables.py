@@ -15,18 +15,26 @@ def text_schema(columns: list[str]) -> str:
     return ", ".join(f"`{c}` string" for c in columns)
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
-    """All-text CSV; a byte order mark is dropped and missing cells are ''.
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the order of the file; files read together must agree."""
+    return spark.read.options(header=True, quote='"', escape='"', encoding="UTF-8").csv(path).columns
 
-    Cells with line breaks need ``multi_line``, which keeps a file in one task;
-    without it files are split.
+
+def read_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """All-text CSV with columns bound by header name; others are not read, missing cells are ''.
+
+    A byte order mark is dropped. Cells with line breaks need ``multi_line``, which keeps a file in one task.
     """
+    header = csv_header(spark, path)
+    absent = [c for c in columns if c not in header]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} in {path}")
     rows = (
-        spark.read.schema(text_schema(columns))
-        .options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", encoding="UTF-8", enforceSchema=True)
+        spark.read.schema(text_schema(header))
+        .options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", encoding="UTF-8", enforceSchema=False)
         .csv(path)
     )
-    return rows.fillna("")
+    return rows.select(*columns).fillna("")
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists") -> None:
@@ -44,8 +52,10 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path)
         return True
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -69,9 +79,9 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def nested_documents(rows: DataFrame, keys: list[str], number: str, items: list[str], per_document: int = 1000) -> DataFrame:
-    """Children nested below their parent, at most ``per_document`` per document, numbered parts."""
-    part = F.floor((F.col(number) - 1) / per_document).alias("part_no")
+def nested_documents(rows: DataFrame, keys: list[str], number: str, items: list[str], per_document: int | None = None) -> DataFrame:
+    """Children nested below their parent, whole; ``per_document`` splits a document into numbered parts instead."""
+    part = (F.lit(0).cast("long") if per_document is None else F.floor((F.col(number) - 1) / per_document)).alias("part_no")
     gathered = F.array_sort(F.collect_list(F.struct(number, *items)))
     return rows.groupBy(*keys, part).agg(gathered.alias("items"))
 

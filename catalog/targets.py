@@ -142,7 +142,7 @@ acc AS (
   UNION ALL SELECT graph_id, node_id, node_id, 'output_port', 'output', 'output_drive', 2, 0, NULL, NULL FROM points WHERE direction = 'output'),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY graph_id, point_id, node_id, type, access_roles ORDER BY branch, side, ok, item_no) AS f FROM acc),
 access AS MATERIALIZED (SELECT graph_id, point_id, node_id, type, access_roles, no FROM (
-  SELECT *, row_number() OVER (PARTITION BY graph_id, point_id ORDER BY branch, side, ok, item_no) AS no FROM firsts WHERE f = 1) WHERE no <= 12)
+  SELECT *, row_number() OVER (PARTITION BY graph_id, point_id ORDER BY branch, side, ok, item_no) AS no FROM firsts WHERE f = 1))
 """
 
 

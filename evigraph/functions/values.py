@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,8 @@ def contains_any(text: Column, words: list[str]) -> Column:
     for word in words:
         found = found | F.contains(text, F.lit(word))
     return found
+
+
+def within(rows: DataFrame, number: str, limit: int | None) -> DataFrame:
+    """Rows numbered up to ``limit``; all of them where no limit is asked for."""
+    return rows if limit is None else rows.filter(F.col(number) <= limit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigraph.functions.scan import ordered_scan, row_no
-from evigraph.functions.values import contains_any, count_where, padded
+from evigraph.functions.values import contains_any, count_where, padded, within
 from evigraph.operators.context import snippet_text
 
 # Vocabulary of a response.
@@ -222,13 +222,13 @@ def allowed_files(locations: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("file")).alias("allowed_files"))
 
 
-def judge_actions(actions: DataFrame, allowed: DataFrame, files: DataFrame, keys: list[str], max_calls: int = 32) -> DataFrame:
-    """First actions of each chain: denied outside the allowlist, error for a missing file, else ok.
+def judge_actions(actions: DataFrame, allowed: DataFrame, files: DataFrame, keys: list[str], max_calls: int | None = None) -> DataFrame:
+    """Actions of each chain (the first ``max_calls``, where given): denied outside the allowlist, error for a missing file, else ok.
 
     actions(keys, action_no, file), allowed(keys, file), files(file).
     """
     window = W.partitionBy(*keys).orderBy("action_no")
-    first = actions.withColumn("_r", F.row_number().over(window)).filter(F.col("_r") <= max_calls).drop("_r")
+    first = within(actions.withColumn("_r", F.row_number().over(window)), "_r", max_calls).drop("_r")
     ok = allowed.select(*keys, "file").distinct().withColumn("_ok", F.lit(True))
     there = files.select("file").distinct().withColumn("_there", F.lit(True))
     joined = first.join(ok, [*keys, "file"], "left").join(there, "file", "left")
@@ -237,26 +237,28 @@ def judge_actions(actions: DataFrame, allowed: DataFrame, files: DataFrame, keys
     return joined.withColumn("status", status).drop("_ok", "_there")
 
 
-def search_lines(lines: DataFrame, needles: list[str], file_order: Column, case_sensitive: bool = False, max_matches: int = 200) -> DataFrame:
-    """First lines (by file, then number) that contain each needle."""
+def search_lines(lines: DataFrame, needles: list[str], file_order: Column, case_sensitive: bool = False, max_matches: int | None = None) -> DataFrame:
+    """Lines that contain each needle, numbered by file and line."""
     text = F.col("line") if case_sensitive else F.lower("line")
     words = [n if case_sensitive else n.lower() for n in needles]
     found = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))
     rows = lines.withColumn("query", F.explode(found)).withColumn("_o", file_order)
     window = W.partitionBy("query").orderBy("_o", "line_no")
-    ranked = rows.withColumn("match_no", F.row_number().over(window)).filter(F.col("match_no") <= max_matches)
+    ranked = within(rows.withColumn("match_no", F.row_number().over(window)), "match_no", max_matches)
     return ranked.withColumn("line", F.regexp_replace("line", r"^\s+|\s+\z", "")).drop("_o")
 
 
 def read_around(
-    requests: DataFrame, lines: DataFrame, files: DataFrame, file_keys: list[str], keys: list[str], before: int = 10, after: int = 18, limit: int = 5000
+    requests: DataFrame, lines: DataFrame, files: DataFrame, file_keys: list[str], keys: list[str], before: int = 10, after: int = 18, limit: int | None = None
 ) -> DataFrame:
-    """Numbered lines around a requested range, cut at a number of characters."""
+    """Numbered lines around a requested range; ``limit`` cuts them at a number of characters."""
     first = F.coalesce(F.nullif("line_start", F.lit(0)), F.lit(1))
     last = F.coalesce(F.nullif("line_end", F.lit(0)), F.nullif("line_start", F.lit(0)), F.lit(1))
     wanted = requests.join(files, file_keys).withColumns(
         {"range_start": F.greatest(F.lit(1), first - before), "range_end": F.least("line_count", last + after)}
     )
     texts = snippet_text(wanted.drop("line_count"), lines, file_keys, keys)
+    if limit is None:
+        return texts.withColumnRenamed("code", "content")
     cut = F.when(F.length("code") <= limit, F.col("code")).otherwise(F.concat(F.left("code", F.lit(limit)), F.lit("\n[TRUNCATED]")))
     return texts.withColumn("content", cut).drop("code")

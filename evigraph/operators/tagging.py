@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from evigraph.functions import rules
 from evigraph.functions.scan import ordered_scan, row_no
-from evigraph.functions.values import contains_any, count_where
+from evigraph.functions.values import contains_any, count_where, within
 
 EVIDENCE = [
     "register", "state_update_target", "condition_used", "output_port", "port", "cross_module_connect", "read_or_write", "reset_related",
@@ -176,17 +176,15 @@ def all_accesses(points: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return writes.unionByName(reads).unionByName(outputs).unionByName(connects)
 
 
-def distinct_cap(rows: DataFrame, group: list[str], key: list[str], limit: int) -> DataFrame:
-    """First row per key, then the first ``limit`` keys of each group, numbered."""
+def distinct_cap(rows: DataFrame, group: list[str], key: list[str], limit: int | None) -> DataFrame:
+    """First row per key, numbered within each group; only the first ``limit`` keys where one is given."""
     rest = [c for c in rows.columns if c not in (*group, *key)]
     firsts = rows.groupBy(*group, *key).agg(F.min_by(F.struct(*rest), F.col("ord")).alias("_f"))
     window = W.partitionBy(*group).orderBy("_f.ord")
-    return (
-        firsts.withColumn("no", F.row_number().over(window)).filter(F.col("no") <= limit).select(*group, *key, "_f.*", "no")
-    )
+    return within(firsts.withColumn("no", F.row_number().over(window)), "no", limit).select(*group, *key, "_f.*", "no")
 
 
-def accesses(points: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 12) -> DataFrame:
+def accesses(points: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     return distinct_cap(all_accesses(points, nodes, edges), ["graph_id", "point_id"], ["node_id", "type", "access_roles"], limit)
 
 
@@ -198,7 +196,7 @@ def make_targets(points: DataFrame) -> DataFrame:
     return rows.withColumn("target_id", F.concat_ws(":", F.lit("target"), "module", "name", F.col("seq").cast("string")))
 
 
-def target_locations(targets: DataFrame, found: DataFrame, nodes: DataFrame, limit: int = 16) -> DataFrame:
+def target_locations(targets: DataFrame, found: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Locations of the point, then of its accesses; one per (node, role)."""
     loc = nodes.filter(F.col("file").isNotNull()).select("graph_id", F.col("id").alias("node_id"), "file", "line_start", "line_end")
     ids = targets.select("graph_id", F.col("node_id").alias("point_id"), "target_id")
@@ -233,22 +231,22 @@ def priority(roles: Column) -> Column:
     return -(has("register") * 4 + has("output_port") * 3 + has("control_like") * 2 + high * 2)
 
 
-def trim_targets(targets: DataFrame, per_module: int = 80, per_graph: int = 160) -> DataFrame:
-    """Best targets per module, then per graph."""
+def trim_targets(targets: DataFrame, per_module: int | None = None, per_graph: int | None = None) -> DataFrame:
+    """Targets ranked by priority; only the best per module, then per graph, where limits are given."""
     rows = targets.withColumn("score", priority(F.col("point_roles")))
     module = W.partitionBy("graph_id", "module").orderBy("score", "name", "seq")
-    kept = rows.withColumn("_m", F.row_number().over(module)).filter(F.col("_m") <= per_module)
+    kept = within(rows.withColumn("_m", F.row_number().over(module)), "_m", per_module)
     graph = W.partitionBy("graph_id").orderBy("score", "module", "name", "seq")
-    return kept.withColumn("rank", F.row_number().over(graph)).filter(F.col("rank") <= per_graph).drop("_m")
+    return within(kept.withColumn("rank", F.row_number().over(graph)), "rank", per_graph).drop("_m")
 
 
-def trim_stats(before: DataFrame, deduped: DataFrame, per_module: int = 80, per_graph: int = 160) -> DataFrame:
+def trim_stats(before: DataFrame, deduped: DataFrame, per_module: int | None = None, per_graph: int | None = None) -> DataFrame:
     """How many targets each step takes away, from counts alone."""
     sizes = deduped.groupBy("graph_id", "module").agg(F.count(F.lit(1)).alias("_n"))
-    kept = F.least("_n", F.lit(per_module))
+    kept = F.col("_n") if per_module is None else F.least("_n", F.lit(per_module))
     per = sizes.groupBy("graph_id").agg(F.sum("_n").alias("_deduped"), F.sum(kept).alias("_kept"))
     totals = before.groupBy("graph_id").agg(F.count(F.lit(1)).alias("target_count_before_dedup"))
-    final = F.least("_kept", F.lit(per_graph))
+    final = F.col("_kept") if per_graph is None else F.least("_kept", F.lit(per_graph))
     return totals.join(per, "graph_id").select(
         "graph_id",
         "target_count_before_dedup",

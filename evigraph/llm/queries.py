@@ -113,6 +113,16 @@ def op9(spark, sf):
     return language_id.identify(table(spark, sf, "documents"))
 
 
-@query("op10_fm_index_dedup")
+@query(
+    "op10_fm_index_dedup",
+    r"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+, win AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13)
+, k AS MATERIALIZED (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 12], ' ')) AS h FROM win)
+, f AS (SELECT h, min(doc_id) AS d FROM k GROUP BY h)
+, gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN f USING (h) WHERE d < doc_id)
+, pos AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w)
+, kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+)
 def op10(spark, sf):
-    return fm_dedup.without_repeats(table(spark, sf, "documents"))
+    return fm_dedup.without_repeats(table(spark, sf, "documents")).drop("spans")

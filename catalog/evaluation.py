@@ -552,7 +552,26 @@ def _clustered(spark, sf):
     return clusters.cluster_false_positives(found.withColumn("claimed_signals_or_registers", F.col("claimed_modules")))
 
 
-@query("j19_leader_cluster")
+SAME_RUN = " AND ".join(f"a.{k} = b.{k}" for k in clusters.CLUSTER_KEYS)
+RUN = ", ".join(clusters.CLUSTER_KEYS)
+# One item of each run per recursion step: it follows its nearest earlier item, the earliest leader on ties.
+CLUSTER_SQL = f"""{domain.FINDINGS_SQL},
+fp AS MATERIALIZED (SELECT {RUN}, ord, {TOKENS_SQL} AS tokens, row_number() OVER (PARTITION BY {RUN} ORDER BY ord) AS n
+  FROM (SELECT *, substr(claimed_modules, 1, 2) || '_top' AS lang_top FROM findings) WHERE detection_match = 'FP'),
+near AS (SELECT {", ".join(f"a.{k}" for k in clusters.CLUSTER_KEYS)}, a.n, b.n AS other, len(list_intersect(a.tokens, b.tokens)) AS shared, shared::DOUBLE / (len(a.tokens) + len(b.tokens) - shared) AS score
+  FROM fp a JOIN fp b ON {SAME_RUN} AND b.n < a.n WHERE len(a.tokens) > 0 AND len(b.tokens) > 0),
+best AS MATERIALIZED (SELECT {RUN}, n, list(other) AS others FROM (SELECT *, max(score) OVER (PARTITION BY {RUN}, n) AS top FROM near WHERE score >= {clusters.THRESHOLD}) WHERE score = top GROUP BY ALL),
+step AS (SELECT DISTINCT {RUN}, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS led FROM fp
+  UNION ALL SELECT {", ".join(f"a.{k}" for k in clusters.CLUSTER_KEYS)}, a.n + 1, list_append(led, coalesce(list_min([led[j] FOR j IN others]), a.n + 1))
+  FROM step a JOIN fp b ON {SAME_RUN} AND b.n = a.n + 1 LEFT JOIN best c ON {SAME_RUN.replace("b.", "c.")} AND c.n = a.n + 1),
+led AS (SELECT {RUN}, unnest(led) AS leader, generate_subscripts(led, 1) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {RUN} ORDER BY n DESC) AS last FROM step) WHERE last = 1),
+heads AS (SELECT {RUN}, leader, 'FPC-' || lpad(CAST(row_number() OVER (ORDER BY {RUN}, leader) AS VARCHAR), 4, '0') AS fp_cluster_id FROM (SELECT DISTINCT {RUN}, leader FROM led)),
+clustered AS MATERIALIZED (SELECT f.*, coalesce(fp_cluster_id, '') AS fp_cluster_id,
+  CASE WHEN detection_match = 'FP' THEN CASE WHEN fp.n = leader THEN 'FP_CLUSTER_REP' ELSE 'FP_CLUSTER_DUP' END WHEN detection_match = 'Duplicate' THEN 'TP_DUPLICATE' ELSE detection_match END AS cluster_scoring_role
+  FROM findings f LEFT JOIN fp USING ({RUN}, ord) LEFT JOIN led USING ({RUN}, n) LEFT JOIN heads USING ({RUN}, leader))"""
+
+
+@query("j19_leader_cluster", f"WITH RECURSIVE {CLUSTER_SQL} SELECT finding_uid, detection_match, fp_cluster_id, cluster_scoring_role FROM clustered")
 def j19(spark, sf):
     return _clustered(spark, sf).select("finding_uid", "detection_match", "fp_cluster_id", "cluster_scoring_role")
 
@@ -562,7 +581,20 @@ def j20(spark, sf):
     return clusters.cluster_rollup(_clustered(spark, sf))
 
 
-@query("j21_clustered_metrics")
+@query(
+    "j21_clustered_metrics",
+    f"""WITH RECURSIVE {CLUSTER_SQL},
+c AS (SELECT model_family, method_name, coalesce(repetition, '') AS repetition, count(*) FILTER (cluster_scoring_role = 'TP') AS tp, count(*) FILTER (cluster_scoring_role = 'FP_CLUSTER_REP') AS fp,
+  count(*) FILTER (cluster_scoring_role = 'TP' AND evidence_quality = 'Sufficient') AS good, count(*) FILTER (cluster_scoring_role IN ('TP', 'FP_CLUSTER_REP') AND evidence_quality IN ('Fabricated', 'Unsupported')) AS bad
+  FROM clustered GROUP BY GROUPING SETS ((model_family, method_name, repetition), (model_family, method_name))),
+h AS (SELECT model_family, method_name, coalesce(repetition, '') AS repetition, count(DISTINCT matched_case_id) AS tp_cases FROM clustered SEMI JOIN gt ON case_id = matched_case_id
+  WHERE cluster_scoring_role = 'TP' GROUP BY GROUPING SETS ((model_family, method_name, repetition), (model_family, method_name))),
+m AS (SELECT c.*, coalesce(tp_cases, 0) AS tp_cases, (SELECT count(DISTINCT case_id) FROM gt) AS num_gt_cases FROM c LEFT JOIN h USING (model_family, method_name, repetition)),
+x AS (SELECT model_family, method_name, repetition, num_gt_cases, tp_cases, num_gt_cases - tp_cases AS fn_cases, tp AS representative_tp_findings, fp AS fp_findings,
+  round(tp_cases::DOUBLE / nullif(tp_cases + fp, 0), 6) AS case_precision, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp_cases::DOUBLE / nullif(num_gt_cases, 0), 6) AS recall,
+  round(good::DOUBLE / nullif(tp, 0), 6) AS evidence_sufficiency_rate, round(bad::DOUBLE / nullif(tp + fp, 0), 6) AS fabricated_unsupported_evidence_rate FROM m)
+SELECT *, CASE WHEN precision + recall <> 0 THEN round(2.0::DOUBLE * precision * recall / (precision + recall), 6) END AS f1_score FROM x""",
+)
 def j21(spark, sf):
     return clusters.clustered_metrics(_clustered(spark, sf), domain.gt_cases(spark, sf))
 

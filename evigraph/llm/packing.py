@@ -137,8 +137,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, sp
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
-            for name, ids in zip(batch["doc_id"], encoder(tokenizer, spaced).encode_in_steps(batch["text"].tolist()), strict=True):
-                data = ids + end
+            for name, text in zip(batch["doc_id"], batch["text"], strict=True):
+                data = encoder(tokenizer, spaced).encode(text if isinstance(text, str) else "") + end
                 for number, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     doc.append(name)

@@ -40,7 +40,7 @@ MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_bytes long"
 
 @dataclass(frozen=True)
 class Format:
-    """The dictionary is trained on at most ``dictionary_docs`` texts of at most ``dictionary_chars`` characters each."""
+    """The dictionary is trained on about ``dictionary_docs`` texts of at most ``dictionary_chars`` characters each."""
 
     tokenizer: str
     spaced: bool = True
@@ -71,21 +71,21 @@ def _serialise(ids: bytes, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, form: Format) -> bytes:
     """Dictionary bytes from a bounded sample chosen by hash, trained in one task; empty where there is too little text."""
-    spread = F.xxhash64("doc_id", "text")
-    usable = docs.select("doc_id", "text").filter(F.length("text").between(1, form.dictionary_chars))
-    sample = usable.orderBy(spread, "doc_id", "text").limit(form.dictionary_docs)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    rate = form.dictionary_docs / max(1, docs.count())
+    sample = docs.select("doc_id", "text").filter(F.length("text").between(1, form.dictionary_chars) & (draw < rate)).select("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(form.tokenizer, form.spaced)
         width = 2 if enc.vocabulary() <= 1 << 16 else 4
-        samples = [_serialise(ids, width) for batch in batches for ids in enc.encode_in_steps(batch["text"].tolist())]
+        samples = [_serialise(ids, width) for batch in batches for ids in map(enc.encode, batch["text"])]
         try:
             trained = zstandard.train_dictionary(form.dictionary_bytes, samples).as_bytes()
         except (zstandard.ZstdError, ValueError):
             trained = b""
         yield pd.DataFrame({"dictionary": [trained]})
 
-    rows = sample.coalesce(1).mapInPandas(run, "dictionary binary").collect()
+    rows = sample.repartition(1).mapInPandas(run, "dictionary binary").collect()
     return max((bytes(r["dictionary"]) for r in rows), key=len, default=b"")
 
 
@@ -115,7 +115,8 @@ def write_token_files(docs: DataFrame, folder: str, form: Format) -> DataFrame:
             empty = batch["doc_id"].isna().to_numpy()
             nulls.append(empty)
             names.append(batch["doc_id"].fillna(0).to_numpy(dtype=np.int64))
-            for ids in enc.encode_in_steps(batch["text"].tolist()):
+            for text in batch["text"]:
+                ids = enc.encode(text if isinstance(text, str) else "")
                 frame = squeeze.compress(_serialise(ids + end, width))
                 parts.append(frame)
                 sizes.append(len(frame))

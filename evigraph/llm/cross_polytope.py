@@ -23,20 +23,25 @@ from evigraph.session import persist_table
 
 @dataclass(frozen=True)
 class Settings:
-    """``probes`` by the number of rotations in a code; codes grow by a rotation when a bucket would exceed ``bucket_rows``."""
+    """A code gains a rotation when a bucket would exceed ``bucket_rows``.
 
-    tables: int = 24
+    ``probes``, by the number of rotations, holds at the smallest size for that number and falls with the
+    power 0.6 of the rows: neighbours come nearer as the data get denser, and fewer codes find them. With many more rows or other
+    data, compare the answers for some queries with all distances before relying on these numbers.
+    """
+
+    tables: int = 32
     bucket_rows: int = 64
-    probes: tuple[int, ...] = (6, 128, 2000)
+    probes: tuple[int, ...] = (6, 100, 600)
     seed: int = 11
-    shard_rows: int = 8192
-    shard_pairs: int = 250_000
+    shard_rows: int = 4096
 
-    def rotations(self, rows: int, dimension: int) -> int:
-        codes, k = 1, 0
-        while rows > self.bucket_rows * codes and k < len(self.probes):
-            codes, k = codes * 2 * dimension, k + 1
-        return max(1, k)
+    def plan(self, rows: int, dimension: int) -> tuple[int, int]:
+        """Rotations in a code, and probes per table."""
+        axes, k, smallest = 2 * dimension, 1, self.bucket_rows
+        while rows > smallest * axes and k < len(self.probes):
+            k, smallest = k + 1, smallest * axes
+        return k, max(2, round(self.probes[k - 1] * min(1.0, smallest / max(1, rows)) ** 0.6)) if k > 1 else self.probes[0]
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -117,8 +122,8 @@ def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Setti
 
     total = points.count()
     first = points.select(F.size("embedding").alias("n")).first()
-    rotations = settings.rotations(total, first["n"] if first else 1)
-    probes, tables, seed = settings.probes[rotations - 1], settings.tables, settings.seed
+    rotations, probes = settings.plan(total, first["n"] if first else 1)
+    tables, seed = settings.tables, settings.seed
 
     def coded(probe: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,35 +141,29 @@ def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Setti
     index = points.select("point", "embedding").mapInPandas(coded(1), schema)
     distinct_queries = queries.select(F.col("point").alias("query"), "embedding").distinct()
     probing = distinct_queries.select(F.col("query").alias("point"), "embedding").mapInPandas(coded(probes), schema)
-    met = index.join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select("query", "point").distinct()
-    pairs = persist_table(met, "candidates")
-
-    shards = tasks_for(spark, max(total / settings.shard_rows, pairs.count() / settings.shard_pairs), 1.0)
+    shards = tasks_for(spark, total, settings.shard_rows)
     shard = F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard")
-    sharded = pairs.select(shard, "query", "point")
-    needed = sharded.select("shard", "query").distinct().join(distinct_queries, "query")
-    nothing = F.lit(None).cast(rows.schema["embedding"].dataType).alias("embedding")
-    together = (
-        sharded.select("shard", "query", "point", nothing)
-        .unionByName(points.select(shard, F.lit(None).cast("long").alias("query"), "point", "embedding"))
-        .unionByName(needed.select("shard", "query", F.lit(None).cast("long").alias("point"), "embedding"))
-    )
+    met = index.join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
+    packed = persist_table(met.groupBy("shard", "query").agg(F.collect_set("point").alias("found")), "candidates")
+    asking = packed.join(distinct_queries, "query").select("shard", "query", "found", F.lit(None).cast("long").alias("point"), "embedding")
+    own = points.select(shard, F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<long>").alias("found"), "point", "embedding")
 
     def rerank(group: pd.DataFrame) -> pd.DataFrame:
-        query, point = group["query"].isna().to_numpy(), group["point"].isna().to_numpy()
-        links = group[~query & ~point]
-        if not len(links):
+        base, queries = group[group["query"].isna()], group[group["point"].isna()]
+        if not len(queries):
             return pd.DataFrame({"query": [], "point": [], "score": []})
-        own, asking = group[query], group[point]
-        places = pd.Series(np.arange(len(own)), index=own["point"].to_numpy(dtype=np.int64))
-        rows_of = pd.Series(np.arange(len(asking)), index=asking["query"].to_numpy(dtype=np.int64))
-        p, q = places[links["point"].to_numpy(dtype=np.int64)].to_numpy(), rows_of[links["query"].to_numpy(dtype=np.int64)].to_numpy()
-        base, against = _matrix(own["embedding"]), _matrix(asking["embedding"])
-        score = np.concatenate([np.sqrt(((base[p[i : i + 20_000]] - against[q[i : i + 20_000]]) ** 2).sum(axis=1)) for i in range(0, len(p), 20_000)])
-        found = pd.DataFrame({"query": links["query"].to_numpy(dtype=np.int64), "point": links["point"].to_numpy(dtype=np.int64), "score": score})
-        found = found.sort_values(["query", "score", "point"])
-        return found[found.groupby("query").cumcount() < wanted]
-
+        names = base["point"].to_numpy(dtype=np.int64)
+        order = np.argsort(names)
+        names, matrix = names[order], _matrix(base["embedding"])[order]
+        out = []
+        for query, found, vector in zip(queries["query"], queries["found"], queries["embedding"], strict=True):
+            at = np.searchsorted(names, np.sort(np.asarray(found, dtype=np.int64)))
+            score = np.sqrt(((matrix[at] - np.asarray(vector, dtype=np.float64)) ** 2).sum(axis=1))
+            best = np.lexsort((names[at], score))[:wanted]
+            out.append(pd.DataFrame({"query": int(query), "point": names[at[best]], "score": score[best]}))
+        return pd.concat(out)
+
+    together = asking.unionByName(own)
     local = together.groupBy("shard").applyInPandas(rerank, "query long, point long, score double")
     by_score = W.partitionBy("query").orderBy("score", "vec_id")
     named = local.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))

@@ -28,7 +28,7 @@ def answers(frame, **options):
     return got
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
 def test_recall(spark, sf):
     frame = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     want = exact([(r["vec_id"], r["embedding"]) for r in frame.collect()])

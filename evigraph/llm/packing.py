@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.functions.scan import ordered_scan, running_sum
 from evigraph.llm.common import rank_within
 from evigraph.llm.encode import encoder
 from evigraph.session import persist_table
@@ -127,21 +128,24 @@ def places(plan: list[tuple[list[int], int]]) -> Places:
     return Places(table[:, 0], table[:, 1], table[:, 2])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, spaced: bool = False, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of the ids of each text and ``end_id``, cut at every ``capacity`` ids.
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int, end_id: int, spaced: bool = False, with_ids: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, keep]) of the ids of each text and ``end_id``, cut at every ``capacity`` ids.
 
-    Null text counts as empty: one piece with the end id alone.
+    Null text counts as empty: one piece with the end id alone. Columns named in ``keep`` stand on every piece.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            doc, piece, start, length, crc, kept = [], [], [], [], [], []
-            for name, text in zip(batch["doc_id"], batch["text"], strict=True):
+            doc, piece, start, length, crc, kept, row = [], [], [], [], [], [], []
+            for at_row, (name, text) in enumerate(zip(batch["doc_id"], batch["text"], strict=True)):
                 data = encoder(tokenizer, spaced).encode(text if isinstance(text, str) else "") + end
                 for number, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     doc.append(name)
+                    row.append(at_row)
                     piece.append(number)
                     start.append(at // 4)
                     length.append(len(part) // 4)
@@ -149,11 +153,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, sp
                     if with_ids:
                         kept.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
             columns = {"doc_id": pd.array(doc, dtype="Int64"), "piece": np.array(piece, dtype=np.int32), "start": start, "length": length, "ids_crc32": crc}
-            yield pd.DataFrame(columns | ({"ids": kept} if with_ids else {}))
+            own = {name: batch[name].to_numpy()[row] for name in keep}
+            yield pd.DataFrame(columns | ({"ids": kept} if with_ids else {}) | own)
 
-    ids = ", ids array<long>" if with_ids else ""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ids)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    more = (", ids array<long>" if with_ids else "") + "".join(f", `{name}` {rows.schema[name].dataType.simpleString()}" for name in keep)
+    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + more)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -183,6 +188,41 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     return pack(persist_table(token_pieces(docs, tokenizer, capacity, end_id, with_ids=with_ids), "pieces"), capacity)
 
 
+def pack_window(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Adds ``_sequence`` and offset to the pieces of a window, sequences numbered from 0 by the first position in them."""
+    pieces = pieces.sort_values(["position", "_mark", "piece"], kind="stable")
+    length = pieces["length"].to_numpy(dtype=np.int64)
+    plan = plan_sequences(np.bincount(length, minlength=capacity + 1), capacity)
+    sequence, offset = places(plan).find(length, pieces.groupby("length").cumcount().to_numpy())
+    _, first, number = np.unique(sequence, return_index=True, return_inverse=True)
+    return pieces.assign(_sequence=np.argsort(np.argsort(first))[number], offset=offset)
+
+
+def pack_in_order(docs: DataFrame, positions: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, window: int = 8192) -> DataFrame:
+    """Like ``pack_documents``, in the order of ``positions`` (doc_id, source, _mark, position; see ``pfair_mix.positions``).
+
+    Positions are cut into windows of ``window``. A window is packed on its own and its sequences come before those of
+    later windows, so a run of sequences holds the sources in the shares that the schedule gives to its positions. A task
+    sees the lengths of the pieces of a window, never their texts.
+    """
+    marked = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("_mark"))
+    pieces = persist_table(token_pieces(marked, tokenizer, capacity, end_id, keep=("source", "_mark")), "pieces").alias("d")
+    p = positions.alias("p")
+    same = F.lit(True)
+    for key in ("doc_id", "source", "_mark"):
+        same = same & F.col(f"d.{key}").eqNullSafe(F.col(f"p.{key}"))
+    dealt = pieces.join(p, same).select("d.*", "p.position", F.floor(F.col("p.position") / window).alias("_window")).drop("source")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    packed = persist_table(
+        dealt.groupBy("_window").applyInPandas(lambda rows: pack_window(rows, capacity), f"{fields}, _sequence long, offset long"), "windows"
+    )
+    sizes = packed.groupBy("_window").agg((F.max("_sequence") + 1).alias("_n"))
+    ends = ordered_scan(sizes, [], [F.col("_window")], {"_end": running_sum(F.col("_n"))})
+    starts = persist_table(ends.select("_window", (F.col("_end") - F.col("_n")).alias("_start")), "window-starts")
+    number = (F.col("_start") + F.col("_sequence")).alias("sequence_id")
+    return packed.join(starts, "_window").select("doc_id", "piece", "start", "length", "ids_crc32", number, "offset")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """(sequence_id, ids) from packed pieces with ids; a sequence is bounded by its capacity."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))

@@ -105,15 +105,17 @@ def slot_of(phases: list[Phase], source: int, block: np.ndarray) -> np.ndarray:
     return out
 
 
-def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, source, block, slot, position) for every row: blocks of ``block_rows`` rows of one source, in slots.
+def interleave(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, settings: Settings = Settings(), also: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, source[, also], block, slot, position) for every row: blocks of ``block_rows`` rows of one source, in slots.
 
     ``weights`` default to the square roots of the sources' sizes; a source without a weight gets the mean of the given
     ones, and sources without rows are ignored. A null source is a source of its own. Within a source, rows are in a
     fixed shuffled order; equal rows are interchangeable. Blocks are full but the last of a source. ``position`` rises
     with the slot. An empty table gives no rows.
     """
-    rows = persist_table(docs.select("doc_id", "source"), "sources")
+    rows = persist_table(docs.select("doc_id", "source", *also), "sources")
     counts = rows.groupBy("source").count().orderBy(F.col("source").asc_nulls_first()).limit(settings.most_sources + 1).collect()
     if len(counts) > settings.most_sources:
         raise ValueError(f"more than {settings.most_sources} sources")
@@ -125,7 +127,7 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
         shares = [float(weights.get(name, mean)) for name in names]
     phases = schedule([-(-n // settings.block_rows) for n in sizes], shares, settings.period)
     plan = docs.sparkSession.sparkContext.broadcast((phases, {name: i for i, name in enumerate(names)}))
-    ranked = rank_within(rows, ["source"], ["doc_id"], "_rank", "source-ranks")
+    ranked = rank_within(rows, ["source"], ["doc_id", *also], "_rank", "source-ranks")
     size = settings.block_rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,12 +141,23 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
                 slot[at] = slot_of(steps, int(i), rank[at] // size)
             yield batch.drop(columns="_rank").assign(block=rank // size, slot=slot, position=slot * size + rank % size)
 
-    return ranked.mapInPandas(run, "doc_id long, source string, block long, slot long, position long")
+    more = "".join(f", `{name}` {rows.schema[name].dataType.simpleString()}" for name in also)
+    return ranked.mapInPandas(run, f"doc_id long, source string{more}, block long, slot long, position long")
+
+
+def positions(docs: DataFrame, weights: dict[str | None, float] | None = None, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, source, _mark, position): the first position of each distinct row, with a hash of its text as ``_mark``.
+
+    The same rows get the same positions in whatever order they are read, as long as the shuffle width stays.
+    """
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("_mark"))
+    return interleave(rows, weights, settings, ("_mark",)).groupBy("doc_id", "source", "_mark").agg(F.min("position").alias("position"))
 
 
 def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with all columns, in the order of the schedule."""
-    placed = interleave(docs, weights, settings).groupBy("doc_id", "source").agg(F.min("position").alias("position")).alias("p")
+    """``docs`` with all columns, in the order of the schedule; a table that is written loses the order, ``positions`` finds it again."""
+    placed = positions(docs, weights, settings).alias("p")
     rows, names = by_number(docs)
     same = F.col(names["doc_id"]).eqNullSafe(F.col("p.doc_id")) & F.col(names["source"]).eqNullSafe(F.col("p.source"))
+    same = same & (F.xxhash64(names["text"]) == F.col("p._mark"))
     return rows.join(placed, same, "left").sort("p.position").select(*names.values()).toDF(*names)

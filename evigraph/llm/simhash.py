@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm import near_copies
 from evigraph.llm.components import components
 from evigraph.session import persist_table
 
@@ -218,7 +219,6 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each component, all columns kept; null ids stay."""
-    gone = near_duplicates(docs, settings).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row of the smallest doc_id of each group of near copies; these are verified, not taken from fingerprints."""
+    return near_copies.one_of_each(docs)

@@ -2,16 +2,18 @@
 
 Block j (from 1) of a source with weight w is released at slot floor((j - 1) / w) and due by slot ceil(j / w); in each
 slot the released block with the earliest deadline runs. Every prefix of the schedule then holds each source to
-within less than one block of its share. Weights are whole parts of ``period``, so the schedule repeats after
-``period`` slots: one period is planned on the driver, and a block finds its slot by arithmetic. When a source is
-used up, a new phase begins in which the others share its weight, so that no document is dropped.
+within less than one block of its share. When a source is used up, the others share its weight from then on, so the
+share of a source is piecewise linear in time and no document is dropped; releases and deadlines are exact integers.
+The driver walks once over the slots and keeps the state at cuts; tasks replay the slots between two cuts.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -24,21 +26,24 @@ from evigraph.session import persist_table
 
 @dataclass(frozen=True)
 class Settings:
-    """``most_sources`` bounds the plan that is sent to the tasks (phases x sources x period)."""
+    """A task replays ``cut_slots`` slots, or eight for each source where that is more; ``period`` is for ``schedule`` alone."""
 
     block_rows: int = 16
     period: int = 1000
-    most_sources: int = 200
+    cut_slots: int = 4096
 
 
 def whole_parts(weights: list[float], period: int) -> list[int]:
-    """Parts of ``period`` nearest to the weights (largest remainders), at least one each."""
+    """Parts of ``period`` nearest to the weights (largest remainders); at least one each, which the largest parts give."""
     total = float(sum(weights))
-    exact = [w / total * (period - len(weights)) for w in weights]
+    exact = [w / total * period for w in weights]
     parts = [int(x) for x in exact]
-    for i in sorted(range(len(parts)), key=lambda i: parts[i] - exact[i])[: period - len(weights) - sum(parts)]:
+    for i in sorted(range(len(parts)), key=lambda i: parts[i] - exact[i])[: period - sum(parts)]:
         parts[i] += 1
-    return [p + 1 for p in parts]
+    for i in [i for i, p in enumerate(parts) if not p]:
+        parts[max(range(len(parts)), key=parts.__getitem__)] -= 1
+        parts[i] = 1
+    return parts
 
 
 def one_period(parts: list[int]) -> list[int]:
@@ -105,6 +110,68 @@ def slot_of(phases: list[Phase], source: int, block: np.ndarray) -> np.ndarray:
     return out
 
 
+class Fluid:
+    """The ideal shares: source i runs at weights[i] of the weights of the sources that are not used up, until it has run blocks[i]."""
+
+    def __init__(self, blocks: list[int], weights: list[float], scale: int = 1 << 60):
+        total = sum(map(Fraction, weights)) or 1
+        self.blocks, self.weights = blocks, [max(1, round(Fraction(w) / total * scale)) for w in weights]
+        order = sorted(range(len(blocks)), key=lambda i: Fraction(blocks[i], self.weights[i]))
+        self.ends = [Fraction(blocks[i], self.weights[i]) for i in order]
+        self.done, self.rate = [0], [sum(self.weights)]
+        for i in order:
+            self.done.append(self.done[-1] + blocks[i])
+            self.rate.append(self.rate[-1] - self.weights[i])
+
+    def stretch(self, i: int, ran: int) -> int:
+        """How many sources are used up before source i has run ``ran`` blocks."""
+        return bisect_left(self.ends, Fraction(ran, self.weights[i]))
+
+    def window(self, i: int, block: int, stretch: int) -> tuple[int, int, int]:
+        """Release and deadline of a block (from 0) of source i, and the stretch of its end; ``stretch`` is that of its start."""
+        w = self.weights[i]
+        release = self.done[stretch] + self.rate[stretch] * block // w
+        while self.ends[stretch].numerator * w < (block + 1) * self.ends[stretch].denominator:
+            stretch += 1
+        return release, self.done[stretch] - (-self.rate[stretch] * (block + 1) // w), stretch
+
+
+def walk(fluid: Fluid, used: list[int], slot: int) -> Iterator[int]:
+    """Which source runs in each slot from ``slot`` on, the earliest deadline first among released blocks; counts up ``used``."""
+    waiting: list[tuple] = []
+    ready: list[tuple] = []
+
+    def follow(i: int, stretch: int) -> None:
+        if used[i] < fluid.blocks[i]:
+            release, deadline, stretch = fluid.window(i, used[i], stretch)
+            heapq.heappush(waiting, (release, deadline, i, stretch))
+
+    for i, n in enumerate(used):
+        follow(i, fluid.stretch(i, n))
+    while waiting or ready:
+        while waiting and waiting[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        deadline, i, stretch = heapq.heappop(ready)
+        if deadline <= slot:
+            raise AssertionError("deadline missed")
+        used[i] += 1
+        follow(i, stretch)
+        yield i
+        slot += 1
+
+
+def states(fluid: Fluid, cut: int) -> list[np.ndarray]:
+    """Blocks of each source that ran before slots 0, cut, 2 * cut, ..."""
+    used = [0] * len(fluid.blocks)
+    out = []
+    steps = walk(fluid, used, 0)
+    for slot in range(sum(fluid.blocks)):
+        if slot % cut == 0:
+            out.append(np.array(used, dtype=np.int64))
+        next(steps)
+    return out
+
+
 def interleave(
     docs: DataFrame, weights: dict[str | None, float] | None = None, settings: Settings = Settings(), also: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -116,33 +183,37 @@ def interleave(
     with the slot. An empty table gives no rows.
     """
     rows = persist_table(docs.select("doc_id", "source", *also), "sources")
-    counts = rows.groupBy("source").count().orderBy(F.col("source").asc_nulls_first()).limit(settings.most_sources + 1).collect()
-    if len(counts) > settings.most_sources:
-        raise ValueError(f"more than {settings.most_sources} sources")
+    counts = rows.groupBy("source").count().orderBy(F.col("source").asc_nulls_first()).collect()
     names, sizes = [r["source"] for r in counts], [r["count"] for r in counts]
     if weights is None:
         shares = [float(n) ** 0.5 for n in sizes]
     else:
         mean = sum(weights.values()) / len(weights)
         shares = [float(weights.get(name, mean)) for name in names]
-    phases = schedule([-(-n // settings.block_rows) for n in sizes], shares, settings.period)
-    plan = docs.sparkSession.sparkContext.broadcast((phases, {name: i for i, name in enumerate(names)}))
-    ranked = rank_within(rows, ["source"], ["doc_id", *also], "_rank", "source-ranks")
-    size = settings.block_rows
+    size, cut = settings.block_rows, max(settings.cut_slots, 8 * len(names))
+    fluid = Fluid([-(-n // size) for n in sizes], shares)
+    found = states(fluid, cut)
+    plan = docs.sparkSession.sparkContext.broadcast((fluid, found, names))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        steps, place = plan.value
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fluid, found, names = plan.value
         for batch in batches:
-            rank = batch["_rank"].to_numpy(dtype=np.int64)
-            slot = np.zeros(len(rank), dtype=np.int64)
-            source = np.array([place[s if isinstance(s, str) else None] for s in batch["source"]], dtype=np.int64)
-            for i in np.unique(source):
-                at = np.flatnonzero(source == i)
-                slot[at] = slot_of(steps, int(i), rank[at] // size)
-            yield batch.drop(columns="_rank").assign(block=rank // size, slot=slot, position=slot * size + rank % size)
-
-    more = "".join(f", `{name}` {rows.schema[name].dataType.simpleString()}" for name in also)
-    return ranked.mapInPandas(run, f"doc_id long, source string{more}, block long, slot long, position long")
+            for number in batch["id"].tolist():
+                used = found[number].tolist()
+                steps, ran, block = walk(fluid, used, number * cut), [], []
+                for _, i in zip(range(cut), steps):
+                    ran.append(i)
+                    block.append(used[i] - 1)
+                yield pd.DataFrame({"source": pd.Series([names[i] for i in ran], dtype=object), "block": block, "slot": np.arange(len(ran)) + number * cut})
+
+    slots = docs.sparkSession.range(0, len(found), 1, max(1, len(found))).mapInPandas(replay, "source string, block long, slot long")
+    slots = persist_table(slots, "slots").alias("s")
+    ranked = rank_within(rows, ["source"], ["doc_id", *also], "_rank", "source-ranks").alias("r")
+    block = F.floor(F.col("r._rank") / size)
+    position = (F.col("s.slot") * size + F.col("r._rank") % size).alias("position")
+    return ranked.join(slots, F.col("r.source").eqNullSafe(F.col("s.source")) & (block == F.col("s.block"))).select(
+        F.col("r.doc_id").cast("long").alias("doc_id"), "r.source", *[f"r.{name}" for name in also], "s.block", "s.slot", position
+    )
 
 
 def positions(docs: DataFrame, weights: dict[str | None, float] | None = None, settings: Settings = Settings()) -> DataFrame:

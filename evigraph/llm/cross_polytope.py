@@ -26,8 +26,8 @@ class Settings:
     """A code gains a rotation when a bucket would exceed ``bucket_rows``.
 
     ``probes``, by the number of rotations, holds at the smallest size for that number and falls with the
-    power 0.6 of the rows: neighbours come nearer as the data get denser, and fewer codes find them. With many more rows or other
-    data, compare the answers for some queries with all distances before relying on these numbers.
+    power 0.6 of the rows. That is the least: for ``sample`` queries the nearest points are found by all distances, and probes
+    are raised until the tables meet the share ``recall`` of them.
     """
 
     tables: int = 32
@@ -35,6 +35,8 @@ class Settings:
     probes: tuple[int, ...] = (6, 100, 600)
     seed: int = 11
     shard_rows: int = 4096
+    sample: int = 128
+    recall: float = 0.97
 
     def plan(self, rows: int, dimension: int) -> tuple[int, int]:
         """Rotations in a code, and probes per table."""
@@ -92,6 +94,25 @@ def codes(vectors: np.ndarray, table: int, rotations: int, probes: int, seed: in
     return kept
 
 
+def probes_for(queries: np.ndarray, near: np.ndarray, of: np.ndarray, rotations: int, least: int, settings: Settings) -> int:
+    """Probes, at least ``least``, by which the share ``recall`` of vectors ``near`` is met by the queries numbered ``of``."""
+    every = (2 << max(0, queries.shape[1] - 1).bit_length()) ** rotations
+    most = min(every, max(64, least))
+    while True:
+        rank = np.full(len(near), every)
+        for table in range(settings.tables):
+            own = codes(near, table, rotations, 1, settings.seed)[:, 0]
+            for at in range(0, len(queries), 8):
+                probed = codes(queries[at : at + 8], table, rotations, most, settings.seed)
+                pairs = np.flatnonzero((of >= at) & (of < at + 8))
+                hit = probed[of[pairs] - at] == own[pairs, None]
+                rank[pairs] = np.minimum(rank[pairs], np.where(hit.any(axis=1), hit.argmax(axis=1), every))
+        needed = int(np.sort(rank)[max(0, int(np.ceil(settings.recall * len(rank))) - 1)]) + 1
+        if needed <= most or most == every:
+            return min(every, max(least, needed))
+        most = min(every, 4 * most)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -138,33 +159,48 @@ def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Setti
         return run
 
     schema = "table int, code long, point long"
-    index = points.select("point", "embedding").mapInPandas(coded(1), schema)
     distinct_queries = queries.select(F.col("point").alias("query"), "embedding").distinct()
-    probing = distinct_queries.select(F.col("query").alias("point"), "embedding").mapInPandas(coded(probes), schema)
     shards = tasks_for(spark, total, settings.shard_rows)
     shard = F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard")
-    met = index.join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
-    packed = persist_table(met.groupBy("shard", "query").agg(F.collect_set("point").alias("found")), "candidates")
-    asking = packed.join(distinct_queries, "query").select("shard", "query", "found", F.lit(None).cast("long").alias("point"), "embedding")
     own = points.select(shard, F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<long>").alias("found"), "point", "embedding")
 
     def rerank(group: pd.DataFrame) -> pd.DataFrame:
         base, queries = group[group["query"].isna()], group[group["point"].isna()]
-        if not len(queries):
+        if not len(queries) or not len(base):
             return pd.DataFrame({"query": [], "point": [], "score": []})
         names = base["point"].to_numpy(dtype=np.int64)
         order = np.argsort(names)
         names, matrix = names[order], _matrix(base["embedding"])[order]
         out = []
         for query, found, vector in zip(queries["query"], queries["found"], queries["embedding"], strict=True):
-            at = np.searchsorted(names, np.sort(np.asarray(found, dtype=np.int64)))
+            at = np.arange(len(names)) if found is None else np.searchsorted(names, np.sort(np.asarray(found, dtype=np.int64)))
             score = np.sqrt(((matrix[at] - np.asarray(vector, dtype=np.float64)) ** 2).sum(axis=1))
             best = np.lexsort((names[at], score))[:wanted]
             out.append(pd.DataFrame({"query": int(query), "point": names[at[best]], "score": score[best]}))
         return pd.concat(out)
 
-    together = asking.unionByName(own)
-    local = together.groupBy("shard").applyInPandas(rerank, "query long, point long, score double")
+    def everywhere(some: DataFrame) -> DataFrame:
+        each = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
+        return some.crossJoin(each).select("shard", "query", F.lit(None).cast("array<long>").alias("found"), F.lit(None).cast("long").alias("point"), "embedding")
+
+    def ranked(asking: DataFrame) -> DataFrame:
+        return asking.unionByName(own).groupBy("shard").applyInPandas(rerank, "query long, point long, score double")
+
+    sample = persist_table(distinct_queries.orderBy(F.xxhash64("query", F.lit(seed)), "query").limit(settings.sample), "sample")
+    nearby = W.partitionBy("query").orderBy("score", "point")
+    true = ranked(everywhere(sample)).filter("query <> point").withColumn("_n", F.row_number().over(nearby)).filter(F.col("_n") <= neighbours)
+    pairs = true.join(points.select("point", "embedding"), "point").join(sample.select("query", F.col("embedding").alias("asked")), "query").toPandas()
+    if len(pairs):
+        firsts = pairs.drop_duplicates("query").reset_index(drop=True)
+        of = pairs["query"].map({q: i for i, q in enumerate(firsts["query"])}).to_numpy()
+        probes = probes_for(_matrix(firsts["asked"]), _matrix(pairs["embedding"]), of, rotations, probes, settings)
+
+    index = points.select("point", "embedding").mapInPandas(coded(1), schema)
+    probing = distinct_queries.select(F.col("query").alias("point"), "embedding").mapInPandas(coded(probes), schema)
+    met = index.join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
+    packed = persist_table(met.groupBy("shard", "query").agg(F.collect_set("point").alias("found")), "candidates")
+    asking = packed.join(distinct_queries, "query").select("shard", "query", "found", F.lit(None).cast("long").alias("point"), "embedding")
+    local = ranked(asking)
     by_score = W.partitionBy("query").orderBy("score", "vec_id")
     named = local.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
     best = persist_table(named.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= wanted), "nearest")

@@ -129,7 +129,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Settings(), query_step: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): for ids divisible by ``query_step`` the nearest other ids by Euclidean distance.
 
-    Fewer rows where fewer candidates are found. Vectors that are null, zero, of an unusual length, or hold null or
+    Queries for which the tables give fewer ids are compared with all points, so fewer rows mean that there are no more ids. Vectors that are null, zero, of an unusual length, or hold null or
     non-finite components take no part, nor do null ids. Repeated rows count once; an id with several vectors is as near
     as its nearest. Ties go to the smaller id. An empty table gives no rows.
     """
@@ -202,9 +202,21 @@ def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Setti
     asking = packed.join(distinct_queries, "query").select("shard", "query", "found", F.lit(None).cast("long").alias("point"), "embedding")
     local = ranked(asking)
     by_score = W.partitionBy("query").orderBy("score", "vec_id")
-    named = local.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
-    best = persist_table(named.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= wanted), "nearest")
-    answers = queries.select("query_id", "point").join(best, F.col("point") == F.col("query")).filter("vec_id <> query_id")
-    closest = answers.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return closest.withColumn("rank", rank).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+
+    def best_of(local: DataFrame) -> DataFrame:
+        named = local.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
+        return persist_table(named.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= wanted), "nearest")
+
+    def answers(best: DataFrame) -> DataFrame:
+        found = queries.select("query_id", "point").join(best, F.col("point") == F.col("query")).filter("vec_id <> query_id")
+        closest = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return closest.withColumn("rank", rank).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
+
+    best = best_of(local)
+    full = answers(best).groupBy("query_id").count().filter(F.col("count") >= neighbours)
+    short = persist_table(queries.join(full, "query_id", "left_anti").select(F.col("point").alias("query"), "embedding").distinct(), "short")
+    if short.isEmpty():
+        return answers(best)
+    exact = best_of(ranked(everywhere(short)))
+    return answers(best.join(short.select("query"), "query", "left_anti").unionByName(exact))

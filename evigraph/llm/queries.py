@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evigraph.llm import chunk_dedup, cross_polytope, filter_audit, fm_dedup, language_id, ngram_lm, packing, pfair_mix, simhash, token_files, url_reputation
+from evigraph.llm import chunk_dedup, cross_polytope, filter_audit, fm_dedup, language_id, ngram_lm, packing, pfair_mix, resample, simhash, token_files, url_reputation
 from evigraph.llm.common import table
 from evigraph.session import work_path
 
@@ -151,3 +151,8 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 )
 def op11(spark, sf):
     return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op12_sampled_sort_resample")
+def op12(spark, sf):
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

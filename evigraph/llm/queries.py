@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evigraph.llm import chunk_dedup, cross_polytope, filter_audit, fm_dedup, language_id, ngram_lm, packing, pfair_mix, resample, simhash, token_files, url_reputation
+from evigraph.llm import chunk_dedup, cross_polytope, filter_audit, fm_dedup, jaccard_join, language_id, ngram_lm, packing, pfair_mix, resample, simhash, token_files, url_reputation
 from evigraph.llm.common import table
 from evigraph.session import work_path
 
@@ -156,3 +156,8 @@ def op11(spark, sf):
 @query("op12_sampled_sort_resample")
 def op12(spark, sf):
     return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_multi_order_jaccard")
+def op13(spark, sf):
+    return jaccard_join.similar_groups(table(spark, sf, "documents"))

@@ -59,7 +59,7 @@ def _csv(spark, sf):
 
 @query("a03_csv_scan", CSV_SQL)
 def a03(spark, sf):
-    rows = tables.read_csv(spark, _csv(spark, sf), ["note", "doc_id", "text", "lang"], True)
+    rows = tables.read_csv(spark, _csv(spark, sf), ["note", "doc_id", "text", "lang"])
     return rows.select("doc_id", "lang", "note", F.md5("text").alias("digest"))
 
 
@@ -67,7 +67,7 @@ def a03(spark, sf):
 def a04(spark, sf):
     path = _csv(spark, sf)
     header = spark.read.text(path).filter("value LIKE 'doc_id,lang%'").select(F.col("value").alias("header")).distinct()
-    return header.withColumn("n_rows", tables.read_csv(spark, path, COLUMNS, True).agg(F.count(F.lit(1))).scalar()).select("n_rows", "header")
+    return header.withColumn("n_rows", tables.read_csv(spark, path, COLUMNS).agg(F.count(F.lit(1))).scalar()).select("n_rows", "header")
 
 
 @query("a05_json_scan", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
@@ -243,7 +243,10 @@ def a15(spark, sf):
     "SELECT 'case' || user_id AS case_id, arg_max(event_id, struct_pack(f := event_type, l := event_id)) AS event_id, count(*) > 0 AS known FROM events GROUP BY user_id",
 )
 def a16(spark, sf):
-    rows = table(spark, sf, "events").select(
-        F.concat(F.lit("case"), "user_id").alias("case_id"), "event_id", F.struct("event_type", "event_id").alias("place"), F.lit(True).alias("known")
-    )
-    return tables.last_per_case(rows, F.col("case_id"), F.col("place")).drop("place")
+    """Evidence files in order: the names follow event_type, lines within a type event_id."""
+    path = work_path(spark, "evidence")
+    line = F.to_json(F.struct(F.concat(F.lit("case"), "user_id").alias("case_id"), "event_id"))
+    rows = table(spark, sf, "events").repartitionByRange("event_type", "event_id").sortWithinPartitions("event_type", "event_id")
+    rows.select(line.alias("value"), "event_type").write.partitionBy("event_type").text(path)
+    found = tables.read_jsonl_ordered(spark, path, "case_id string, event_id bigint").withColumn("known", F.lit(True))
+    return tables.last_per_case(found, F.col("case_id"), F.col("ord")).select("case_id", "event_id", "known")

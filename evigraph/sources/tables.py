@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from evigraph.functions.values import present
+from evigraph.sources import lines
 
 
 def text_schema(columns: list[str]) -> str:
@@ -20,23 +21,32 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.options(header=True, quote='"', escape='"', encoding="UTF-8").csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> DataFrame:
     """All-text CSV with columns bound by header name; others are not read, missing cells are ''.
 
-    A byte order mark is dropped. Cells with line breaks need ``multi_line``, which keeps a file in one task.
+    A byte order mark is dropped. Rows come in the order of the files and their lines. Quoted cells may hold line breaks; a file is
+    spread over tasks all the same. Without
+    ``multi_line`` every line is taken for a record, which saves the scan that finds where records begin.
     """
+    if multi_line:
+        return read_csv_ordered(spark, path, columns).sort("ord").drop(*lines.PLACE)
     header = csv_header(spark, path)
     absent = [c for c in columns if c not in header]
     if absent:
         raise ValueError(f"no column {', '.join(absent)} in {path}")
     rows = (
         spark.read.schema(text_schema(header))
-        .options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", encoding="UTF-8", enforceSchema=False)
+        .options(header=True, quote='"', escape='"', emptyValue="", encoding="UTF-8", enforceSchema=False)
         .csv(path)
     )
     return rows.select(*columns).fillna("")
 
 
+def read_csv_ordered(spark: SparkSession, path: str | list[str], columns: list[str], glob: str | None = None) -> DataFrame:
+    """``read_csv`` with the place of each record: file_ord, line_ord (of its first line) and ord, its number among the lines of all files."""
+    return lines.csv_cells(lines.csv_records(lines.numbered_lines(spark, path, glob)), columns)
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists") -> None:
     """Columns in the given order; others are left out, absent ones are ''."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
@@ -65,6 +75,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_jsonl_ordered(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, glob: str | None = None) -> DataFrame:
+    """JSON lines with file_ord, line_ord and ord; a line that holds no object fails, or is dropped where ``strict`` is off."""
+    return lines.json_records(lines.numbered_lines(spark, path, glob), schema, strict)
+
+
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that are no JSON object are dropped, as are blank ones; a missing path is empty."""
     if not _path_exists(spark, path):

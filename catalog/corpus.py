@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog import domain
 from catalog.registry import query, table
-from evigraph.functions import text as tx
+from evigraph.functions import brackets, text as tx
 from evigraph.functions.scan import last_value, ordered_scan
 from evigraph.operators import context, extract
 from evigraph.session import persist_table
@@ -158,7 +158,7 @@ def b06(spark, sf):
     # Ranges and calls with commas inside brackets must stay whole.
     nested = F.regexp_replace(F.regexp_replace("inside", r":0\] a(\d+)_(\d+)", r":0,1] f(a$1, $2)"), r"\n\z", "")
     rows = modules(spark, sf).select("file", tx.between_first_parens(F.col("header_text")).alias("inside"))
-    return rows.select("file", F.posexplode(tx.split_top_level(nested)).alias("no", "part"))
+    return brackets.split_top_level(rows.select("file", nested.alias("nested")), ["file"], "nested").select("file", "no", "part")
 
 
 @query(

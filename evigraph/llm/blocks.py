@@ -28,11 +28,14 @@ MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def in_blocks(docs: DataFrame, block_chars: float = 8e6) -> tuple[DataFrame, float]:
-    """(block, doc_id, text) with null text as empty, and the characters in all; a block has about ``block_chars``."""
+    """(block, doc_id, text) with null text as empty, and the characters in all; a block has about ``block_chars``.
+
+    Ids travel as text: a null among numbers would turn a block's ids into floating point.
+    """
     chars = float(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
     blocks = tasks_for(docs.sparkSession, chars, block_chars)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long"), whole_text().alias("text")), chars
+    return docs.select(block.alias("block"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), whole_text().alias("text")), chars
 
 
 def in_fixed_order(block: pd.DataFrame) -> tuple[list[int | None], list[str]]:

@@ -72,7 +72,7 @@ class Encoder:
     otherwise white space carries no ids. The memory is emptied at ``most_units``; long units are never kept.
     """
 
-    def __init__(self, path: str, spaced: bool, most_units: int = 400_000):
+    def __init__(self, path: str, spaced: bool, most_units: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.most_units = spaced, most_units

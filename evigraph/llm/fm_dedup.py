@@ -196,14 +196,16 @@ def remove_repeats(block: pd.DataFrame, answers: pd.DataFrame, length: int, buck
         np.add.at(gone, start + length, -1)
     covered = np.cumsum(gone)[:-1] > 0
     rows, at = [], 0
-    for name, text, n in zip(w.ids, w.texts, w.counts.tolist(), strict=True):
+    for text, n in zip(w.texts, w.counts.tolist(), strict=True):
         part = covered[at : at + n]
         at += n
         words = text.encode("utf-8", "replace").split()
         edges = np.flatnonzero(np.diff(part, prepend=False, append=False))
         kept = b" ".join([x for x, out in zip(words, part.tolist(), strict=True) if not out] if len(edges) else words)
-        rows.append((name, n, int(part.sum()), hashlib.sha256(kept).hexdigest(), edges.tolist(), kept.decode("utf-8", "replace")))
-    return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+        rows.append((n, int(part.sum()), hashlib.sha256(kept).hexdigest(), edges.tolist(), kept.decode("utf-8", "replace")))
+    out = pd.DataFrame(rows, columns=columns[1:])
+    out.insert(0, "doc_id", pd.array(w.ids, dtype="Int64"))
+    return out
 
 
 def without_repeats(docs: DataFrame, settings: Settings = Settings(), with_text: bool = False) -> DataFrame:

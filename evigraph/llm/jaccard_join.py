@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import blocks as B
+from evigraph.llm.common import by_number, whole_text
 from evigraph.llm.components import components
 from evigraph.session import persist_table
 
@@ -101,8 +102,8 @@ def _portions(batches: Iterator[pa.RecordBatch], chars: int = 1 << 22) -> Iterat
                 at, size = i + 1, 0
 
 
-def marked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n, digest, low): size and digest of each row's set, and its lengthened prefix by ascending hash."""
+def marked(docs: DataFrame, settings: Settings = Settings(), with_text: bool = False) -> DataFrame:
+    """(doc_id, n, digest, low[, text_sha256]): size and digest of each row's set, and its lengthened prefix by ascending hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _portions(batches):
@@ -110,9 +111,12 @@ def marked(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             found = [sets.of(i) for i in range(len(texts))]
             digests = pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in found], pa.binary())
             low = _lists([v[: _prefix_size(len(v), settings)].view(np.int64) for v in found])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets.sizes), digests, low], ["doc_id", "n", "digest", "low"])
+            more = [pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary())] if with_text else []
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets.sizes), digests, low, *more], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, low array<long>")
+    schema = "doc_id long, n long, digest binary, low array<long>" + (", text_sha256 binary" if with_text else "")
+    names = [part.split()[0] for part in schema.split(", ")]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def whole_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -220,8 +224,26 @@ def links(sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return first.union(persist_table(verified(persist_table(_pairs(rest), "pairs"), sets, settings), "links"))
 
 
-def similar_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
+#: Near copies share four fifths of their runs of five words.
+NEAR_COPIES = Settings(shingle=5, percent=80, extra=10)
+
+
+def one_of_each(docs: DataFrame, settings: Settings = NEAR_COPIES) -> DataFrame:
+    """``docs`` with the rows of the smallest doc_id of each group of similar texts, all columns kept.
+
+    Rows without an id or without a word stay. It is decided per row: a doc_id that also stands on another text goes only where its
+    own group has a smaller one.
+    """
+    found = similar_groups(docs, settings, with_text=True).filter("doc_id > component_id")
+    gone = persist_table(found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "gone").alias("g")
+    rows, names = by_number(docs)
+    own = F.unhex(F.sha2(whole_text(names["text"]).cast("binary"), 256))
+    same = (F.col(f"r.{names['doc_id']}") == F.col("g._id")) & (F.col("r._own") == F.col("g._sha"))
+    return rows.withColumn("_own", own).alias("r").join(gone, same, "left_anti").select(*[F.col(f"r.{c}") for c in names.values()]).toDF(*names)
+
+
+def similar_groups(docs: DataFrame, settings: Settings = Settings(), with_text: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id[, text_sha256]), one row per row of ``docs``.
 
     Sets of at least ``percent`` similarity are linked; component_id is the smallest doc_id reachable, the own one at most.
     Null, empty and blank texts have no shingle and are linked with nothing. A null doc_id never names a component unless it
@@ -229,7 +251,7 @@ def similar_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     themselves by 64 bits of hash, whole sets by 128. Only doc_id and text are read, so other columns cannot clash. An empty table
     gives no rows.
     """
-    rows = persist_table(marked(docs, settings), "marked")
+    rows = persist_table(marked(docs, settings, with_text), "marked")
     classes = persist_table(rows.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     kept = persist_table(by_low_prefix(rows, classes, settings).select("digest", "first"), "low")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("t")
@@ -249,4 +271,5 @@ def similar_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     firsts = persist_table(members.groupBy("key").agg(F.min("first").alias("component_id")), "firsts")
     final = persist_table(members.join(firsts, "key").select("digest", "component_id", F.lit(True).alias("_in")), "named")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n", "digest").join(final, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    more = ["text_sha256"] if with_text else []
+    return rows.select("doc_id", "n", "digest", *more).join(final, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *more)

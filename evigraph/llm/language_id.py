@@ -30,8 +30,11 @@ class Settings:
     step_chars: int = 1 << 19
 
 
-def ngram_features(codes: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids and their positions for the 1-, 2- and 3-grams of an array of code points; 0 ends a text and is in no n-gram."""
+def ngram_features(codes: np.ndarray, features: int, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature ids and their positions for the 1-, 2- and 3-grams of an array of code points that end in a ``fresh`` place.
+
+    0 ends a text and is in no n-gram.
+    """
     c = codes.astype(np.uint64)
     live = codes != 0
     one, two, three = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -39,9 +42,9 @@ def ngram_features(codes: np.ndarray, features: int) -> tuple[np.ndarray, np.nda
     ids, places = [], []
     pair, trio = live[:-1] & live[1:], live[:-2] & live[1:-1] & live[2:]
     for mask, mixed in (
-        (live, c * one),
-        (pair, (c[:-1] * two + c[1:] + np.uint64(1)) * one),
-        (trio, ((c[:-2] * three + c[1:-1]) * two + c[2:] + np.uint64(2)) * one),
+        (live & fresh, c * one),
+        (pair & fresh[1:], (c[:-1] * two + c[1:] + np.uint64(1)) * one),
+        (trio & fresh[2:], ((c[:-2] * three + c[1:-1]) * two + c[2:] + np.uint64(2)) * one),
     ):
         at = np.flatnonzero(mask)
         ids.append((mixed[at] >> shift).astype(np.int32))
@@ -49,33 +52,39 @@ def ngram_features(codes: np.ndarray, features: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(ids), np.concatenate(places)
 
 
-def _steps(texts: list[str], step_chars: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of the text, code points) in parts of bounded size; parts of one text overlap by two characters, marked by the caller."""
+#: Characters that a part of a text repeats from the part before it, so that every n-gram lies whole in one part.
+CARRIED = 2
+
+
+def _steps(texts: list[str], step_chars: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the text, code points and an end, which of them are new) in parts of bounded size."""
     for i, text in enumerate(texts):
-        for start in range(0, len(text), step_chars):
-            yield i, np.frombuffer(text[start : start + step_chars].lower().encode("utf-32-le", "replace"), dtype=np.uint32)
+        lowered = text.lower()
+        for start in range(0, len(lowered), step_chars):
+            first = max(0, start - CARRIED)
+            codes = np.frombuffer((lowered[first : start + step_chars] + "\0").encode("utf-32-le", "replace"), dtype=np.uint32)
+            yield i, codes, np.arange(first, first + len(codes)) >= start
 
 
 def text_scores(texts: list[str], weights: np.ndarray, step_chars: int) -> np.ndarray:
     """Sum of ``weights`` rows over all n-grams of each text. A text longer than ``step_chars`` is read in parts."""
     totals = np.zeros((len(texts), weights.shape[1]))
-    held: list[tuple[int, np.ndarray]] = []
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush():
         nonlocal held, size
         if not held:
             return
-        owner = np.concatenate([np.full(len(codes) + 1, i, dtype=np.int64) for i, codes in held])
-        joined = np.concatenate([x for _, codes in held for x in (codes, np.zeros(1, dtype=np.uint32))])
-        ids, places = ngram_features(joined, weights.shape[0])
+        owner = np.concatenate([np.full(len(codes), i, dtype=np.int64) for i, codes, _ in held])
+        ids, places = ngram_features(np.concatenate([x for _, x, _ in held]), weights.shape[0], np.concatenate([x for _, _, x in held]))
         for language in range(weights.shape[1]):
             totals[:, language] += np.bincount(owner[places], weights=weights[ids, language], minlength=len(texts))
         held, size = [], 0
 
-    for i, codes in _steps(texts, step_chars):
-        held.append((i, codes))
-        size += len(codes)
+    for step in _steps(texts, step_chars):
+        held.append(step)
+        size += len(step[1])
         if size >= step_chars:
             flush()
     flush()
@@ -89,8 +98,8 @@ def _count(features: int, step_chars: int, languages: list[str]):
         counts = np.zeros((len(languages), features), dtype=np.int64)
         for batch in batches:
             for name, text in zip(batch["lang"], batch["text"], strict=True):
-                for _, codes in _steps([text], step_chars):
-                    ids, _ = ngram_features(np.append(codes, np.uint32(0)), features)
+                for _, codes, fresh in _steps([text], step_chars):
+                    ids, _ = ngram_features(codes, features, fresh)
                     counts[place[name]] += np.bincount(ids, minlength=features)
         lang, feature = np.nonzero(counts)
         yield pd.DataFrame({"lang": lang.astype(np.int32), "feature": feature.astype(np.int32), "n": counts[lang, feature]})
@@ -125,27 +134,24 @@ def predict(docs: DataFrame, languages: list[str], weights: np.ndarray, settings
     Null text, text without a letter and an empty model give ``und`` with score 0. The score is the posterior
     probability at equal priors; ties go to the first language by name.
     """
-    keep = keep or ["doc_id"]
     model = docs.sparkSession.sparkContext.broadcast((languages, weights))
     step_chars = settings.step_chars
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def judged(column: pd.Series) -> pd.DataFrame:
         names, matrix = model.value
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["_text"]]
-            readable = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool) & bool(names)
-            lang, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
-            if readable.any():
-                at = np.flatnonzero(readable)
-                totals = text_scores([texts[i] for i in at], matrix, step_chars)
-                best = totals.argmax(axis=1)
-                lang[at] = np.array(names, dtype=object)[best]
-                score[at] = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
-            yield batch.drop(columns="_text").assign(lang_pred=lang, score=score)
-
-    schema = docs.select(*keep).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, f"{fields}, lang_pred string, score double")
+        texts = [t if isinstance(t, str) else "" for t in column]
+        readable = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool) & bool(names)
+        lang, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
+        if readable.any():
+            at = np.flatnonzero(readable)
+            totals = text_scores([texts[i] for i in at], matrix, step_chars)
+            best = totals.argmax(axis=1)
+            lang[at] = np.array(names, dtype=object)[best]
+            score[at] = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    return docs.select(*(keep or ["doc_id"]), judged("text").alias("_judged")).select(*(keep or ["doc_id"]), "_judged.*")
 
 
 def held_out() -> Column:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,29 +137,33 @@ def token_pieces(
     Null text counts as empty: one piece with the end id alone. Columns named in ``keep`` stand on every piece.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    names = ["doc_id", *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            doc, piece, start, length, crc, kept, row = [], [], [], [], [], [], []
-            for at_row, (name, text) in enumerate(zip(batch["doc_id"], batch["text"], strict=True)):
-                data = encoder(tokenizer, spaced).encode(text if isinstance(text, str) else "") + end
+            piece, start, length, crc, ids, row = [], [], [], [], [], []
+            for at_row, text in enumerate(batch.column("text")):
+                data = encoder(tokenizer, spaced).encode(text.as_py() or "") + end
                 for number, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
-                    doc.append(name)
                     row.append(at_row)
                     piece.append(number)
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     if with_ids:
-                        kept.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
-            columns = {"doc_id": pd.array(doc, dtype="Int64"), "piece": np.array(piece, dtype=np.int32), "start": start, "length": length, "ids_crc32": crc}
-            own = {name: batch[name].to_numpy()[row] for name in keep}
-            yield pd.DataFrame(columns | ({"ids": kept} if with_ids else {}) | own)
+                        ids.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
+            of = pa.array(row, pa.int64())
+            longs = [pa.array(x, pa.int64()) for x in (start, length, crc)]
+            own = [batch.column(name).take(of) for name in names]
+            more = [pa.array(ids, pa.list_(pa.int64()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(piece, pa.int32()), *longs, *more, *own[1:]], [f.split()[0].strip("`") for f in schema.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *keep)
-    more = (", ids array<long>" if with_ids else "") + "".join(f", `{name}` {rows.schema[name].dataType.simpleString()}" for name in keep)
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + more)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    schema += "".join(f", `{name}` {rows.schema[name].dataType.simpleString()}" for name in keep)
+    return rows.mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -174,13 +179,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     found = pieces.sparkSession.sparkContext.broadcast(places(plan_sequences(counts, capacity)))
     ranked = rank_within(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank", "length-ranks")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sequence, offset = found.value.find(batch["length"].to_numpy(), batch["_rank"].to_numpy())
-            yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        sequence, offset = found.value.find(length.to_numpy(), rank.to_numpy())
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(run, f"{fields}, sequence_id long, offset long")
+    return ranked.select(*pieces.columns, place("length", "_rank").alias("_place")).select(*pieces.columns, "_place.*")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -188,14 +192,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
     return pack(persist_table(token_pieces(docs, tokenizer, capacity, end_id, with_ids=with_ids), "pieces"), capacity)
 
 
-def pack_window(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def pack_window(pieces: pa.Table, capacity: int) -> pa.Table:
     """Adds ``_sequence`` and offset to the pieces of a window, sequences numbered from 0 by the first position in them."""
-    pieces = pieces.sort_values(["position", "_mark", "piece"], kind="stable")
-    length = pieces["length"].to_numpy(dtype=np.int64)
+    pieces = pieces.sort_by([(name, "ascending") for name in ("position", "_mark", "piece", "ids_crc32")])
+    length = pieces.column("length").to_numpy()
     plan = plan_sequences(np.bincount(length, minlength=capacity + 1), capacity)
-    sequence, offset = places(plan).find(length, pieces.groupby("length").cumcount().to_numpy())
+    order = np.argsort(length, kind="stable")
+    group = np.searchsorted(length[order], length[order], side="left")
+    rank = np.empty(len(length), dtype=np.int64)
+    rank[order] = np.arange(len(length)) - group
+    sequence, offset = places(plan).find(length, rank)
     _, first, number = np.unique(sequence, return_index=True, return_inverse=True)
-    return pieces.assign(_sequence=np.argsort(np.argsort(first))[number], offset=offset)
+    return pieces.append_column("_sequence", pa.array(np.argsort(np.argsort(first))[number])).append_column("offset", pa.array(offset))
 
 
 def pack_in_order(docs: DataFrame, positions: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, window: int = 8192) -> DataFrame:
@@ -214,7 +222,7 @@ def pack_in_order(docs: DataFrame, positions: DataFrame, tokenizer: str, capacit
     dealt = pieces.join(p, same).select("d.*", "p.position", F.floor(F.col("p.position") / window).alias("_window")).drop("source")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     packed = persist_table(
-        dealt.groupBy("_window").applyInPandas(lambda rows: pack_window(rows, capacity), f"{fields}, _sequence long, offset long"), "windows"
+        dealt.groupBy("_window").applyInArrow(lambda rows: pack_window(rows, capacity), f"{fields}, _sequence long, offset long"), "windows"
     )
     sizes = packed.groupBy("_window").agg((F.max("_sequence") + 1).alias("_n"))
     ends = ordered_scan(sizes, [], [F.col("_window")], {"_end": running_sum(F.col("_n"))})

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm import near_copies
+from evigraph.llm import jaccard_join
 from evigraph.llm.components import components
 from evigraph.session import persist_table
 
@@ -59,12 +59,12 @@ def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long; null text counts as empty."""
     shingle, seed = settings.shingle, settings.seed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [text_fingerprint(t if isinstance(t, str) else None, shingle, seed) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array(found, dtype=np.uint64).view(np.int64)})
+    @F.pandas_udf("long")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        found = [text_fingerprint(t if isinstance(t, str) else None, shingle, seed) for t in texts]
+        return pd.Series(np.array(found, dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint("text").alias("fp"))
 
 
 class VantageTree:
@@ -221,4 +221,4 @@ def hex_fingerprint(fp: Column) -> Column:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of the smallest doc_id of each group of near copies; these are verified, not taken from fingerprints."""
-    return near_copies.one_of_each(docs)
+    return jaccard_join.one_of_each(docs)

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -34,13 +35,18 @@ from evigraph.session import persist_table
 
 MAGIC, VERSION = b"EVTOKENS", 1
 HEADER, TRAILER = "<8sHH32s", "<QQ8s"
+#: Shards are numbered by the task that writes them and, within a task, in turn.
+SHARDS_PER_TASK = 1_000_000
 HEADER_SIZE, TRAILER_SIZE = struct.calcsize(HEADER), struct.calcsize(TRAILER)
-MANIFEST = "shard int, file string, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "shard long, file string, n_docs long, n_tokens long, n_bytes long"
 
 
 @dataclass(frozen=True)
 class Format:
-    """The dictionary is trained on about ``dictionary_docs`` texts of at most ``dictionary_chars`` characters each."""
+    """The dictionary is trained on about ``dictionary_docs`` texts of at most ``dictionary_chars`` characters each.
+
+    A shard ends with the document that takes it past ``shard_bytes``.
+    """
 
     tokenizer: str
     spaced: bool = True
@@ -49,20 +55,31 @@ class Format:
     dictionary_bytes: int = 112_640
     dictionary_docs: int = 1000
     dictionary_chars: int = 32_768
+    shard_bytes: int = 128 << 20
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _write(uri: str, parts: list[bytes]) -> None:
-    store, path = _open(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    passing = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(passing) as out:
-        for part in parts:
-            out.write(part)
-    store.move(passing, path)
+class _Target:
+    """A file that appears under its name only when it is whole."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = _open(uri)
+        self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.passing = f"{self.path}.{uuid.uuid4().hex}"
+        self.out = self.store.open_output_stream(self.passing)
+
+    def close(self) -> None:
+        self.out.close()
+        self.store.move(self.passing, self.path)
+
+
+def _write(uri: str, data: bytes) -> None:
+    target = _Target(uri)
+    target.out.write(data)
+    target.close()
 
 
 def _serialise(ids: bytes, width: int) -> bytes:
@@ -101,40 +118,58 @@ def write_token_files(docs: DataFrame, folder: str, form: Format) -> DataFrame:
     dictionary = train_dictionary(docs, form)
     digest = hashlib.sha256(dictionary).digest()
     base = folder.rstrip("/")
-    _write(f"{base}/dictionary-{digest.hex()}.zdict", [dictionary])
+    _write(f"{base}/dictionary-{digest.hex()}.zdict", dictionary)
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(form.tokenizer, form.spaced)
         width = 2 if max(enc.vocabulary() - 1, form.end_id) < 1 << 16 else 4
         known = _frames(shared.value)
         squeeze = zstandard.ZstdCompressor(level=form.level, dict_data=known) if known else zstandard.ZstdCompressor(level=form.level)
         end = np.array([form.end_id], dtype="<u4").tobytes()
-        parts, sizes, lengths, names, nulls = [struct.pack(HEADER, MAGIC, VERSION, width, digest)], [], [], [], []
+        writer, number = None, TaskContext.get().partitionId() * SHARDS_PER_TASK
         for batch in batches:
-            empty = batch["doc_id"].isna().to_numpy()
-            nulls.append(empty)
-            names.append(batch["doc_id"].fillna(0).to_numpy(dtype=np.int64))
-            for text in batch["text"]:
-                ids = enc.encode(text if isinstance(text, str) else "")
-                frame = squeeze.compress(_serialise(ids + end, width))
-                parts.append(frame)
-                sizes.append(len(frame))
-                lengths.append(len(ids) // 4 + 1)
-        if not sizes:
-            return
-        offsets = lambda first, steps: np.concatenate([[first], first + np.cumsum(steps)]).astype("<i8")
-        tokens, frames = offsets(0, lengths), offsets(HEADER_SIZE, sizes)
-        index = [np.concatenate(names).astype("<i8").tobytes(), np.concatenate(nulls).astype(np.uint8).tobytes(), tokens.tobytes(), frames.tobytes()]
-        shard = TaskContext.get().partitionId()
-        path = f"{base}/shard-{shard:06d}.tok"
-        _write(path, [*parts, *index, struct.pack(TRAILER, int(frames[-1]), len(sizes), MAGIC)])
-        total = int(frames[-1]) + sum(map(len, index)) + TRAILER_SIZE
-        yield pd.DataFrame({"shard": [np.int32(shard)], "file": [path], "n_docs": [len(sizes)], "n_tokens": [int(tokens[-1])], "n_bytes": [total]})
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if writer is None:
+                    writer = _ShardWriter(f"{base}/shard-{number:012d}.tok", struct.pack(HEADER, MAGIC, VERSION, width, digest))
+                ids = enc.encode(text.as_py() or "") + end
+                writer.add(doc_id, squeeze.compress(_serialise(ids, width)), len(ids) // 4)
+                if writer.size >= form.shard_bytes:
+                    yield writer.close(number)
+                    writer, number = None, number + 1
+        if writer is not None:
+            yield writer.close(number)
 
     order = ["doc_id", "text"]
-    ranged = docs.select(*order).repartitionByRange("doc_id", F.xxhash64("text"))
-    return persist_table(ranged.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInPandas(run, MANIFEST), "token-manifest")
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text"))
+    return persist_table(ranged.select(*order).sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, MANIFEST), "token-manifest")
+
+
+class _ShardWriter:
+    """Frames go to the file as they come; only the index, some 25 bytes a document, waits for the end."""
+
+    def __init__(self, uri: str, header: bytes):
+        self.uri, self.target, self.size = uri, _Target(uri), len(header)
+        self.ids, self.nulls, self.lengths, self.frames = [], [], [], []
+        self.target.out.write(header)
+
+    def add(self, doc_id: int | None, frame: bytes, length: int) -> None:
+        self.target.out.write(frame)
+        self.size += len(frame)
+        self.ids.append(0 if doc_id is None else doc_id)
+        self.nulls.append(doc_id is None)
+        self.lengths.append(length)
+        self.frames.append(len(frame))
+
+    def close(self, number: int) -> pa.RecordBatch:
+        offsets = lambda first, steps: np.concatenate([[first], first + np.cumsum(steps)]).astype("<i8")
+        tokens, frames = offsets(0, self.lengths), offsets(HEADER_SIZE, self.frames)
+        index = [np.array(self.ids, dtype="<i8").tobytes(), np.array(self.nulls, dtype=np.uint8).tobytes(), tokens.tobytes(), frames.tobytes()]
+        for part in [*index, struct.pack(TRAILER, int(frames[-1]), len(self.ids), MAGIC)]:
+            self.target.out.write(part)
+        self.target.close()
+        total = int(frames[-1]) + sum(map(len, index)) + TRAILER_SIZE
+        return pa.RecordBatch.from_pylist([{"shard": number, "file": self.uri, "n_docs": len(self.ids), "n_tokens": int(tokens[-1]), "n_bytes": total}])
 
 
 class Shard:
@@ -165,6 +200,14 @@ class Shard:
         frame = self.file.read_at(int(self.frames[i + 1] - self.frames[i]), int(self.frames[i]))
         return np.frombuffer(self.unpack.decompress(frame), dtype=f"<u{self.width}").astype("<u4")
 
+    def run_of_ids(self, first: int, stop: int) -> list[np.ndarray]:
+        """Ids of the documents ``first`` to ``stop``, with one read of the file."""
+        edges = (self.frames[first : stop + 1] - self.frames[first]).tolist()
+        data = memoryview(self.file.read_at(int(self.frames[stop] - self.frames[first]), int(self.frames[first])))
+        parts = [self.unpack.decompress(data[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        joined = np.frombuffer(b"".join(parts), dtype=f"<u{self.width}").astype("<u4")
+        return np.split(joined, np.cumsum([len(p) // self.width for p in parts])[:-1])
+
     def find(self, doc_id: int) -> list[int]:
         """Places of a doc_id; ids ascend behind the null ids."""
         first = int(self.nulls.sum())
@@ -184,7 +227,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool =
                 shard = Shard(path)
                 for first in range(0, len(shard.doc_ids), 2000):
                     at = range(first, min(first + 2000, len(shard.doc_ids)))
-                    ids = [shard.ids(i) for i in at]
+                    ids = shard.run_of_ids(at.start, at.stop)
                     names = pd.array(shard.doc_ids[at.start : at.stop], dtype="Int64")
                     names[shard.nulls[at.start : at.stop].astype(bool)] = pd.NA
                     rows = {
@@ -192,9 +235,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool =
                         "start": base + shard.tokens[at.start : at.stop],
                         "n_tokens": [len(x) for x in ids],
                         "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids],
-                        "shard": np.int32(number),
+                        "shard": np.int64(number),
                     }
                     yield pd.DataFrame(rows | ({"ids": ids} if with_ids else {}))
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int" + (", ids array<long>" if with_ids else "")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long" + (", ids array<long>" if with_ids else "")
     return shards.repartition(files).mapInPandas(run, schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -23,27 +24,34 @@ from evigraph.session import persist_table
 
 @dataclass(frozen=True)
 class Settings:
-    """A code gains a rotation when a bucket would exceed ``bucket_rows``.
+    """How points are coded; rotations and probes follow from the data.
 
-    ``probes``, by the number of rotations, holds at the smallest size for that number and falls with the
-    power 0.6 of the rows. That is the least: for ``sample`` queries the nearest points are found by all distances, and probes
-    are raised until the tables meet the share ``recall`` of them.
+    For ``sample`` queries the nearest points are found by all distances. With each number of rotations that fits the rows (a
+    bucket of ``bucket_rows`` asks for one more), probes are raised from ``probes`` until the tables meet the share ``recall`` of
+    them. Of these plans the cheapest is taken: a candidate, which is joined, collected and measured, costs ``candidate_cost``
+    times as much as a probed code, and candidates are estimated from ``points`` points.
     """
 
-    tables: int = 32
+    tables: int = 96
     bucket_rows: int = 64
-    probes: tuple[int, ...] = (6, 100, 600)
+    probes: tuple[int, ...] = (1, 1, 1)
     seed: int = 11
     shard_rows: int = 4096
     sample: int = 128
+    points: int = 4096
     recall: float = 0.97
+    candidate_cost: float = 16.0
 
-    def plan(self, rows: int, dimension: int) -> tuple[int, int]:
-        """Rotations in a code, and probes per table."""
+    def rotations(self, rows: int, dimension: int) -> list[int]:
+        """The numbers of rotations to choose from."""
         axes, k, smallest = 2 * dimension, 1, self.bucket_rows
         while rows > smallest * axes and k < len(self.probes):
             k, smallest = k + 1, smallest * axes
-        return k, max(2, round(self.probes[k - 1] * min(1.0, smallest / max(1, rows)) ** 0.6)) if k > 1 else self.probes[0]
+        return list(range(k, min(k + 1, len(self.probes)) + 1))
+
+
+#: Queries that are probed at a time.
+STEP = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -78,14 +86,22 @@ def ranked_axes(y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return axes, value[:, :1] - value
 
 
+@lru_cache(maxsize=64)
+def _pairs(rows: int, columns: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of two ascending lists whose sums can be among the ``most`` smallest: (i + 1) * (j + 1) sums are no larger."""
+    wide = [min(columns, most // (i + 1)) for i in range(min(rows, most))]
+    return np.repeat(np.arange(len(wide)), wide), np.concatenate([np.arange(n) for n in wide])
+
+
 def codes(vectors: np.ndarray, table: int, rotations: int, probes: int, seed: int) -> np.ndarray:
     """The ``probes`` codes of a table nearest to each vector, its own first."""
     kept, cost = np.zeros((len(vectors), 1), dtype=np.int64), np.zeros((len(vectors), 1))
     for rotation in range(rotations):
         y = rotated(vectors, table, rotation, seed)
         axes, farther = ranked_axes(y, probes)
-        kept = (kept[:, :, None] * (2 * y.shape[1]) + axes[:, None, :]).reshape(len(vectors), -1)
-        cost = (cost[:, :, None] + farther[:, None, :] ** 2).reshape(len(vectors), -1)
+        i, j = _pairs(kept.shape[1], axes.shape[1], probes)
+        kept = kept[:, i] * (2 * y.shape[1]) + axes[:, j]
+        cost = cost[:, i] + farther[:, j] ** 2
         if kept.shape[1] > probes:
             best = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
             kept, cost = np.take_along_axis(kept, best, axis=1), np.take_along_axis(cost, best, axis=1)
@@ -102,9 +118,9 @@ def probes_for(queries: np.ndarray, near: np.ndarray, of: np.ndarray, rotations:
         rank = np.full(len(near), every)
         for table in range(settings.tables):
             own = codes(near, table, rotations, 1, settings.seed)[:, 0]
-            for at in range(0, len(queries), 8):
-                probed = codes(queries[at : at + 8], table, rotations, most, settings.seed)
-                pairs = np.flatnonzero((of >= at) & (of < at + 8))
+            for at in range(0, len(queries), STEP):
+                probed = codes(queries[at : at + STEP], table, rotations, most, settings.seed)
+                pairs = np.flatnonzero((of >= at) & (of < at + STEP))
                 hit = probed[of[pairs] - at] == own[pairs, None]
                 rank[pairs] = np.minimum(rank[pairs], np.where(hit.any(axis=1), hit.argmax(axis=1), every))
         needed = int(np.sort(rank)[max(0, int(np.ceil(settings.recall * len(rank))) - 1)]) + 1
@@ -113,28 +129,58 @@ def probes_for(queries: np.ndarray, near: np.ndarray, of: np.ndarray, rotations:
         most = min(every, 4 * most)
 
 
+def candidates_for(queries: np.ndarray, points: np.ndarray, rotations: int, probes: int, settings: Settings) -> float:
+    """The mean over the queries of how many of the points share a probed code, a point counted once a table."""
+    met = 0
+    for table in range(settings.tables):
+        own = np.sort(codes(points, table, rotations, 1, settings.seed)[:, 0])
+        for at in range(0, len(queries), STEP):
+            probed = codes(queries[at : at + STEP], table, rotations, probes, settings.seed)
+            met += int((np.searchsorted(own, probed, "right") - np.searchsorted(own, probed, "left")).sum())
+    return met / len(queries)
+
+
+def cheapest(queries: np.ndarray, near: np.ndarray, of: np.ndarray, points: np.ndarray, total: int, settings: Settings) -> tuple[int, int]:
+    """Rotations and probes of the cheapest plan; ``near`` are the nearest of the queries numbered ``of``, ``points`` some of all."""
+    plans = []
+    for rotations in settings.rotations(total, queries.shape[1]):
+        probes = probes_for(queries, near, of, rotations, settings.probes[rotations - 1], settings)
+        met = candidates_for(queries, points, rotations, probes, settings) * total / len(points)
+        plans.append((settings.candidate_cost * met + settings.tables * probes, rotations, probes))
+    return min(plans)[1:]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, embedding) whose vector is of the most frequent length, finite and not zero, each once."""
+    """Rows (vec_id, embedding) whose vector is finite and not zero, each once."""
     limit = float("inf")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
-    rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("embedding") == (sizes["n"] if sizes else 0)).distinct()
+    return vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)).distinct()
+
+
+ANSWER = "query_id long, rank int, vec_id long, score double"
 
 
 def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Settings(), query_step: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): for ids divisible by ``query_step`` the nearest other ids by Euclidean distance.
 
-    Queries for which the tables give fewer ids are compared with all points, so fewer rows mean that there are no more ids. Vectors that are null, zero, of an unusual length, or hold null or
-    non-finite components take no part, nor do null ids. Repeated rows count once; an id with several vectors is as near
-    as its nearest. Ties go to the smaller id. An empty table gives no rows.
+    Queries for which the tables give fewer ids are compared with all points, so fewer rows mean that there are no more ids.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of one length are
+    searched among themselves. Repeated rows count once; an id with several vectors is as near as its nearest. Ties go to the
+    smaller id. Only vec_id and embedding are read, so other columns cannot clash. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = persist_table(usable(vectors), "vectors")
+    length = F.size("embedding")
+    sizes = sorted(r["n"] for r in rows.select(length.alias("n")).distinct().collect())
+    found = [_nearest_of_length(rows.filter(length == n), neighbours, settings, query_step) for n in sizes]
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], ANSWER)
+
+
+def _nearest_of_length(rows: DataFrame, neighbours: int, settings: Settings, query_step: int) -> DataFrame:
+    spark = rows.sparkSession
     wanted = neighbours + 1
     numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("_n") <= wanted)
     points = persist_table(numbered.groupBy("embedding").agg(F.min("vec_id").alias("point"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "points")
@@ -142,11 +188,9 @@ def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Setti
     queries = persist_table(asked.select(F.col("vec_id").alias("query_id"), "point", "embedding"), "queries")
 
     total = points.count()
-    first = points.select(F.size("embedding").alias("n")).first()
-    rotations, probes = settings.plan(total, first["n"] if first else 1)
     tables, seed = settings.tables, settings.seed
 
-    def coded(probe: int):
+    def coded(rotations: int, probe: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for at in range(0, len(batch), 512):
@@ -162,26 +206,28 @@ def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Setti
     distinct_queries = queries.select(F.col("point").alias("query"), "embedding").distinct()
     shards = tasks_for(spark, total, settings.shard_rows)
     shard = F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard")
-    own = points.select(shard, F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<long>").alias("found"), "point", "embedding")
+    # points and queries of a shard come as one table; an id is never null, which would make a column of ids inexact
+    own = points.select(shard, F.lit(True).alias("is_point"), F.col("point").alias("id"), F.lit(None).cast("array<long>").alias("found"), "embedding")
 
     def rerank(group: pd.DataFrame) -> pd.DataFrame:
-        base, queries = group[group["query"].isna()], group[group["point"].isna()]
-        if not len(queries) or not len(base):
-            return pd.DataFrame({"query": [], "point": [], "score": []})
-        names = base["point"].to_numpy(dtype=np.int64)
-        order = np.argsort(names)
-        names, matrix = names[order], _matrix(base["embedding"])[order]
-        out = []
-        for query, found, vector in zip(queries["query"], queries["found"], queries["embedding"], strict=True):
-            at = np.arange(len(names)) if found is None else np.searchsorted(names, np.sort(np.asarray(found, dtype=np.int64)))
-            score = np.sqrt(((matrix[at] - np.asarray(vector, dtype=np.float64)) ** 2).sum(axis=1))
-            best = np.lexsort((names[at], score))[:wanted]
-            out.append(pd.DataFrame({"query": int(query), "point": names[at[best]], "score": score[best]}))
+        is_point = group["is_point"].to_numpy(dtype=bool)
+        base, queries = group[is_point], group[~is_point]
+        out = [pd.DataFrame({"query": np.zeros(0, dtype=np.int64), "point": np.zeros(0, dtype=np.int64), "score": np.zeros(0)})]
+        if len(queries) and len(base):
+            names = base["id"].to_numpy(dtype=np.int64)
+            order = np.argsort(names)
+            names, matrix = names[order], _matrix(base["embedding"])[order]
+            for query, found, vector in zip(queries["id"].tolist(), queries["found"], queries["embedding"], strict=True):
+                at = np.arange(len(names)) if found is None else np.searchsorted(names, np.sort(np.asarray(found, dtype=np.int64)))
+                score = np.sqrt(((matrix[at] - np.asarray(vector, dtype=np.float64)) ** 2).sum(axis=1))
+                best = np.lexsort((names[at], score))[:wanted]
+                out.append(pd.DataFrame({"query": np.full(len(best), query, dtype=np.int64), "point": names[at[best]], "score": score[best]}))
         return pd.concat(out)
 
     def everywhere(some: DataFrame) -> DataFrame:
-        each = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
-        return some.crossJoin(each).select("shard", "query", F.lit(None).cast("array<long>").alias("found"), F.lit(None).cast("long").alias("point"), "embedding")
+        """Each query at every shard: all distances, in blocks."""
+        every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        return some.select(every, F.lit(False).alias("is_point"), F.col("query").alias("id"), F.lit(None).cast("array<long>").alias("found"), "embedding")
 
     def ranked(asking: DataFrame) -> DataFrame:
         return asking.unionByName(own).groupBy("shard").applyInPandas(rerank, "query long, point long, score double")
@@ -190,16 +236,18 @@ def nearest(vectors: DataFrame, neighbours: int = 10, settings: Settings = Setti
     nearby = W.partitionBy("query").orderBy("score", "point")
     true = ranked(everywhere(sample)).filter("query <> point").withColumn("_n", F.row_number().over(nearby)).filter(F.col("_n") <= neighbours)
     pairs = true.join(points.select("point", "embedding"), "point").join(sample.select("query", F.col("embedding").alias("asked")), "query").toPandas()
+    rotations, probes = settings.rotations(total, 1)[0], 1
     if len(pairs):
         firsts = pairs.drop_duplicates("query").reset_index(drop=True)
         of = pairs["query"].map({q: i for i, q in enumerate(firsts["query"])}).to_numpy()
-        probes = probes_for(_matrix(firsts["asked"]), _matrix(pairs["embedding"]), of, rotations, probes, settings)
+        some = points.select("point", "embedding").orderBy(F.xxhash64("point", F.lit(seed + 1)), "point").limit(settings.points).toPandas()
+        rotations, probes = cheapest(_matrix(firsts["asked"]), _matrix(pairs["embedding"]), of, _matrix(some["embedding"]), total, settings)
 
-    index = points.select("point", "embedding").mapInPandas(coded(1), schema)
-    probing = distinct_queries.select(F.col("query").alias("point"), "embedding").mapInPandas(coded(probes), schema)
+    index = points.select("point", "embedding").mapInPandas(coded(rotations, 1), schema)
+    probing = distinct_queries.select(F.col("query").alias("point"), "embedding").mapInPandas(coded(rotations, probes), schema)
     met = index.join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
     packed = persist_table(met.groupBy("shard", "query").agg(F.collect_set("point").alias("found")), "candidates")
-    asking = packed.join(distinct_queries, "query").select("shard", "query", "found", F.lit(None).cast("long").alias("point"), "embedding")
+    asking = packed.join(distinct_queries, "query").select("shard", F.lit(False).alias("is_point"), F.col("query").alias("id"), "found", "embedding")
     local = ranked(asking)
     by_score = W.partitionBy("query").orderBy("score", "vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))

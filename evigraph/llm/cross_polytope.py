@@ -245,7 +245,8 @@ def _nearest_of_length(rows: DataFrame, neighbours: int, settings: Settings, que
 
     index = points.select("point", "embedding").mapInPandas(coded(rotations, 1), schema)
     probing = distinct_queries.select(F.col("query").alias("point"), "embedding").mapInPandas(coded(rotations, probes), schema)
-    met = index.join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
+    # neither side is small, whatever its size is guessed to be behind Python code
+    met = index.hint("merge").join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
     packed = persist_table(met.groupBy("shard", "query").agg(F.collect_set("point").alias("found")), "candidates")
     asking = packed.join(distinct_queries, "query").select("shard", F.lit(False).alias("is_point"), F.col("query").alias("id"), "found", "embedding")
     local = ranked(asking)

@@ -576,7 +576,23 @@ def j19(spark, sf):
     return _clustered(spark, sf).select("finding_uid", "detection_match", "fp_cluster_id", "cluster_scoring_role")
 
 
-@query("j20_cluster_rollup")
+def _parts_sql(column):
+    """Distinct parts of a column's texts per cluster, in order of first appearance."""
+    return f"""(SELECT cluster, string_agg(part, '; ' ORDER BY first) AS {column} FROM (
+  SELECT fp_cluster_id AS cluster, trim(part) AS part, min(ord * 1000 + p) AS first FROM (SELECT fp_cluster_id, ord, unnest(string_split(coalesce({column}, ''), ';')) AS part,
+    generate_subscripts(string_split(coalesce({column}, ''), ';'), 1) AS p FROM rows) WHERE trim(part) <> '' GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    "j20_cluster_rollup",
+    f"""WITH RECURSIVE {CLUSTER_SQL},
+rows AS MATERIALIZED (SELECT *, claimed_modules AS claimed_signals_or_registers, row_number() OVER (PARTITION BY fp_cluster_id ORDER BY ord) AS place FROM clustered WHERE fp_cluster_id <> ''),
+k AS (SELECT fp_cluster_id, {RUN}, count(*) AS fp_count, arg_min(finding_uid, ord) AS representative_finding_uid,
+  string_agg(summary, chr(10) || '---' || chr(10) ORDER BY ord) FILTER (place <= 5) AS example_summaries FROM rows GROUP BY ALL)
+SELECT k.*, coalesce(f.claimed_files, '') AS claimed_files, coalesce(m.claimed_modules, '') AS claimed_modules, coalesce(s.claimed_signals_or_registers, '') AS claimed_signals_or_registers
+FROM k LEFT JOIN {_parts_sql("claimed_files")} f ON f.cluster = fp_cluster_id LEFT JOIN {_parts_sql("claimed_modules")} m ON m.cluster = fp_cluster_id
+LEFT JOIN {_parts_sql("claimed_signals_or_registers")} s ON s.cluster = fp_cluster_id""",
+)
 def j20(spark, sf):
     return clusters.cluster_rollup(_clustered(spark, sf))
 
@@ -792,13 +808,4 @@ FROM (SELECT c_nationkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_ord
 def j29(spark, sf):
     gt = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("case_id"))
     hit = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("case_id"))
-    keys = gt.select("case_id")
-    found = keys.intersect(hit).withColumn("hit", F.lit(True))
-    missed = keys.exceptAll(hit.distinct()).withColumn("hit", F.lit(False))
-    marked = gt.join(found.unionByName(missed), "case_id")
-    union = keys.union(hit).distinct()
-    return (
-        marked.groupBy("nation")
-        .agg(F.count(F.lit(1)).alias("gt_cases"), count_where(F.col("hit")).alias("hit_cases"), count_where(~F.col("hit")).alias("missed_cases"))
-        .withColumn("union_cases", union.agg(F.count(F.lit(1))).scalar())
-    )
+    return evaluate.group_ground_truth(gt, hit, "nation")

@@ -180,14 +180,15 @@ def a11(spark, sf):
 
 @query(
     "a12_trace_resolution",
-    """WITH f AS (SELECT user_id, min(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 END) AS p FROM events WHERE event_id % 60 = user_id % 60 GROUP BY 1)
+    """WITH f AS (SELECT user_id, min(CASE WHEN event_type = 'click' AND user_id % 4 = 0 THEN 1 WHEN event_type = 'view' AND user_id % 4 < 3 THEN 2 END) AS p FROM events GROUP BY 1)
 SELECT 'run' || u.user_id AS run_dir, 'run' || u.user_id || CASE WHEN p = 2 THEN '/tool_observations.jsonl' ELSE '/tool_trace.jsonl' END AS trace_path, p IS NOT NULL AS trace_exists FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN f USING (user_id)""",
 )
 def a12(spark, sf):
     events = table(spark, sf, "events")
     run_dir = F.concat(F.lit("run"), "user_id").alias("run_dir")
-    name = F.when(F.col("event_type") == "click", files.TRACE_FILES[0]).when(F.col("event_type") == "view", files.TRACE_FILES[1]).otherwise(F.lit("final_answer.json"))
-    found = events.filter("event_id % 60 = user_id % 60").select(run_dir, name.alias("file_name"))
+    kind, user = F.col("event_type"), F.col("user_id") % 4
+    name = F.when((kind == "click") & (user == 0), files.TRACE_FILES[0]).when((kind == "view") & (user < 3), files.TRACE_FILES[1]).otherwise(F.lit("final_answer.json"))
+    found = events.select(run_dir, name.alias("file_name"))
     return files.resolve_traces(events.select(run_dir).distinct(), found)
 
 

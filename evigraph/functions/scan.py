@@ -86,6 +86,16 @@ def ordered_scan(
     return s.join(c, condition, "left").select(*[F.col(f"s.{n}") for n in columns], *final)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, most: int | None = None) -> DataFrame:
+    """Adds the place of each row within ``keys``, from 1; only the first ``most`` rows where a limit is given.
+
+    With a limit Spark cuts each key's rows before they are shuffled; without one a key of any size is scanned in slices.
+    """
+    if most is None:
+        return ordered_scan(df, keys, order, {name: row_no()})
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= most)
+
+
 def _total(scan: Scan, order: list[Column]) -> Column:
     if scan.kind == "row_no":
         return F.count(F.lit(1))

@@ -823,3 +823,21 @@ def anyhit_levels(anyhit: DataFrame) -> DataFrame:
             "fn_rate": ratio(F.col("fn_cases"), n),
         }
     )
+
+
+# ---------------------------------------------------------------- groups of ground truth
+
+
+def group_ground_truth(gt: DataFrame, hits: DataFrame, group: str) -> DataFrame:
+    """Per group of cases: how many there are, are hit and are missed; ``union_cases`` counts all cases of either table.
+
+    gt(group, case_id), hits(case_id). A case that stands in several groups counts in each, repeated rows count as they stand; the
+    union counts distinct cases, and a case that is hit but in no group belongs to it alone.
+    """
+    hit = hits.select("case_id").distinct()
+    marked = gt.select(group, "case_id").join(hit.withColumn("_hit", F.lit(True)), "case_id", "left").withColumn("_hit", F.col("_hit").isNotNull())
+    union = gt.select("case_id").union(hit).distinct()
+    counts = marked.groupBy(group).agg(
+        F.count(F.lit(1)).alias("gt_cases"), count_where(F.col("_hit")).alias("hit_cases"), count_where(~F.col("_hit")).alias("missed_cases")
+    )
+    return counts.withColumn("union_cases", union.agg(F.count(F.lit(1))).scalar())

@@ -113,7 +113,7 @@ def connect_edges(bound: DataFrame, signals: DataFrame) -> DataFrame:
 def signal_uses(bound: DataFrame, refs: DataFrame) -> DataFrame:
     """Every use of a signal name with the location it would be declared at."""
     order = lambda p, a, b, c: F.struct(
-        F.lit(p).alias("phase"), a.cast("long").alias("o1"), b.cast("long").alias("o2"), F.lit(c).alias("o3")
+        F.lit(p).alias("phase"), a.alias("o1"), b.cast("long").alias("o2"), F.lit(c).alias("o3")
     )
     inst, no = F.col("inst_ord"), F.col("binding_no")
     use = lambda m, n, loc, o: ["graph_id", m.alias("module"), n.alias("name"), loc.alias("loc"), o.alias("ord")]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evigraph.functions import rules
-from evigraph.functions.scan import ordered_scan, row_no
+from evigraph.functions.scan import numbered, ordered_scan, row_no
 from evigraph.functions.values import contains_any, count_where, within
+from evigraph.session import persist_table
 
 EVIDENCE = [
     "register", "state_update_target", "condition_used", "output_port", "port", "cross_module_connect", "read_or_write", "reset_related",
@@ -54,7 +55,8 @@ def _incident(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = None)
 def evidence_flags(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """One mode column per predicate (explicit, inferred or unavailable) from a single aggregation.
 
-    Edges of signals outside ``only`` (graph_id, node_id) are dropped before they are joined or aggregated.
+    ``only`` is a table of some signals with all their columns (see ``signals_of``) and others; edges of signals outside it are
+    dropped before they are joined or aggregated.
     """
     role = F.lower(F.coalesce("read_role", F.lit("")))
     conditional = role.isin("condition", "case_selector") | F.col("other_kind").isin("condition", "case_branch")
@@ -64,7 +66,7 @@ def evidence_flags(nodes: DataFrame, edges: DataFrame, only: DataFrame | None =
         F.bool_or(F.col("type") == "connects").alias("_conn"),
         F.bool_or(F.col("type").isin("writes", "reads")).alias("_rw"),
     )
-    rows = signals_of(nodes).join(seen, ["graph_id", "node_id"], "left")
+    rows = (signals_of(nodes) if only is None else only).join(seen, ["graph_id", "node_id"], "left")
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
     mode = lambda cond, name="explicit": F.when(F.coalesce(cond, F.lit(False)), name).otherwise(F.lit("unavailable"))
     register = F.when(F.col("kind") == "register", "explicit").when(known("_update"), "inferred").otherwise(F.lit("unavailable"))
@@ -111,8 +113,7 @@ def gate_rules(matched: Column, about: Column, reset: Column, connected: Column)
 def candidate_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Signals with at least one rule left, their roles, rules and evidence modes."""
     usable = name_filter(signals_of(nodes)).withColumn("_matched", context_rules(F.col("low"), F.col("context")))
-    usable = usable.filter(F.size("_matched") > 0).select("graph_id", "node_id", "_matched")
-    rows = evidence_flags(nodes, edges, usable).join(usable, ["graph_id", "node_id"])
+    rows = evidence_flags(nodes, edges, persist_table(usable.filter(F.size("_matched") > 0), "usable"))
     has = {e: F.col(e) != "unavailable" for e in EVIDENCE}
     any_mode = reduce(lambda a, b: a | b, has.values())
     rows = rows.filter(any_mode & ~rules.weak_handshake(F.col("low"), F.col("about")))
@@ -234,10 +235,9 @@ def priority(roles: Column) -> Column:
 def trim_targets(targets: DataFrame, per_module: int | None = None, per_graph: int | None = None) -> DataFrame:
     """Targets ranked by priority; only the best per module, then per graph, where limits are given."""
     rows = targets.withColumn("score", priority(F.col("point_roles")))
-    module = W.partitionBy("graph_id", "module").orderBy("score", "name", "seq")
-    kept = within(rows.withColumn("_m", F.row_number().over(module)), "_m", per_module)
-    graph = W.partitionBy("graph_id").orderBy("score", "module", "name", "seq")
-    return within(kept.withColumn("rank", F.row_number().over(graph)), "rank", per_graph).drop("_m")
+    if per_module is not None:
+        rows = numbered(rows, ["graph_id", "module"], [F.col(c) for c in ("score", "name", "seq")], "_m", per_module).drop("_m")
+    return numbered(rows, ["graph_id"], [F.col(c) for c in ("score", "module", "name", "seq")], "rank", per_graph)
 
 
 def trim_stats(before: DataFrame, deduped: DataFrame, per_module: int | None = None, per_graph: int | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ def build_graph(sources: DataFrame) -> dict[str, DataFrame]:
     )
     signal_nodes = marked.select(
         "graph_id", graph.signal_id(F.col("module"), F.col("name")).alias("id"), F.lit("Signal").alias("type"), scope("module"), "name", *place,
-        "kind", "direction", "decl_raw", "decl_type", F.lit(0).cast("long").alias("ord"),
+        "kind", "direction", "decl_raw", "decl_type", extract.order_in_module(F.lit(0)).alias("ord"),
     )
     instance_nodes = graph.resolve_instances(found, defs).select(
         "graph_id", graph.instance_id(F.col("parent"), F.col("name")).alias("id"), F.lit("Instance").alias("type"), scope("parent"), "name", *place,
@@ -57,7 +57,8 @@ def build_graph(sources: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def build_targets(nodes: DataFrame, edges: DataFrame, per_module: int = 80, per_graph: int = 160) -> dict[str, DataFrame]:
+def build_targets(nodes: DataFrame, edges: DataFrame, per_module: int | None = None, per_graph: int | None = None) -> dict[str, DataFrame]:
+    """Targets with their points, accesses and locations; the best of each module and graph only where limits are given."""
     points = persist_table(tagging.candidate_points(nodes, edges), "points")
     found = persist_table(tagging.accesses(points, nodes, edges), "accesses")
     before = persist_table(tagging.make_targets(points), "targets")
@@ -75,33 +76,37 @@ def build_targets(nodes: DataFrame, edges: DataFrame, per_module: int = 80, per_
     }
 
 
-def build_chains(nodes: DataFrame, edges: DataFrame, targets: DataFrame, accesses: DataFrame) -> dict[str, DataFrame]:
-    chains = persist_table(search.chain_targets(targets), "chains")
+def build_chains(
+    nodes: DataFrame, edges: DataFrame, targets: DataFrame, accesses: DataFrame, max_depth: int = search.MAX_DEPTH,
+    max_chains: int | None = None, max_fanout: int | None = None, max_nodes: int | None = None, max_edges: int | None = None,
+) -> dict[str, DataFrame]:
+    """Neighbourhoods of the targets; chains, edges of a node, nodes and edges of a chain are cut only where limits are given."""
+    chains = persist_table(search.chain_targets(targets, max_chains), "chains")
     seeds = persist_table(search.seed_nodes(chains, accesses, nodes), "seeds")
-    incidence = persist_table(search.capped_incidence(edges), "incidence")
-    visited = search.bounded_search(seeds, search.search_steps(incidence, nodes))
+    incidence = persist_table(search.capped_incidence(edges, max_fanout), "incidence")
+    visited = search.bounded_search(seeds, search.search_steps(incidence, nodes), max_depth)
     found = persist_table(search.formal_nodes(visited, nodes), "chain-nodes")
-    touched = persist_table(search.visited_edges(visited, incidence), "chain-edges")
-    kept_nodes = persist_table(search.ranked_nodes(found), "kept-nodes")
-    kept_edges = persist_table(search.ranked_edges(touched, kept_nodes), "kept-edges")
+    touched = persist_table(search.visited_edges(visited, incidence, max_depth), "chain-edges")
+    kept_nodes = persist_table(search.ranked_nodes(found, max_nodes), "kept-nodes")
+    kept_edges = persist_table(search.ranked_edges(touched, kept_nodes, max_edges), "kept-edges")
     locations = persist_table(search.location_groups(kept_nodes, kept_edges, nodes), "chain-locations")
     return {
         "chains": chains,
         "nodes": kept_nodes,
         "edges": kept_edges,
         "locations": locations,
-        "diagnostics": search.chain_diagnostics(chains, seeds, found, touched, kept_nodes, kept_edges, locations),
+        "diagnostics": search.chain_diagnostics(chains, seeds, found, touched, kept_nodes, kept_edges, locations, max_nodes, max_edges),
     }
 
 
-def build_contexts(locations: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+def build_contexts(locations: DataFrame, sources: DataFrame, max_snippets: int | None = None) -> dict[str, DataFrame]:
     """Snippets of every chain and the reasons for missing ones; locations(graph_id, chain_id, file, ...)."""
     file_keys, chain = ["graph_id", "file"], ["graph_id", "chain_id"]
     ranges = context.expand_ranges(locations, context.line_counts(sources, file_keys, "text"), file_keys)
     ranges = persist_table(ranges, "ranges")
     usable = ranges.filter("status = 'ok'").select(*chain, "file", "range_start", "range_end", "node_ids", "edge_ids")
     merged = context.merge_ranges(usable, [*chain, "file"], "range_start", "range_end", ["node_ids", "edge_ids"])
-    numbered = persist_table(context.number_snippets(merged, chain), "snippets")
+    numbered = persist_table(context.number_snippets(merged, chain, max_snippets), "snippets")
     kept = numbered.filter("NOT over_limit").drop("over_limit")
     texts = context.snippet_text(kept, context.source_lines(sources, file_keys, "text"), file_keys, [*chain, "snippet_id"])
     problems = ranges.filter("status <> 'ok'").select(*chain, "file", "status")

@@ -64,8 +64,11 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def persist_table(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by writing to the shared folder; survives the loss of executors."""
+def persist_table(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Cut lineage by writing to the shared folder; survives the loss of executors.
+
+    ``compression`` (the session's by default) may be "none" for hashes, which do not shrink.
+    """
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write if compression is None else df.write.option("compression", compression)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -164,7 +164,7 @@ def rare_prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
     Shingles of one set alone come first and cannot meet another set, so they only take places.
     """
     shingles = sets.select("point", "n", F.explode("shingles").alias("shingle"))
-    known = persist_table(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"), "rarity")
+    known = persist_table(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets", "none")).filter("sets > 1"), "rarity")
     lists = shingles.join(known, "shingle").groupBy("point", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("common"))
     placed = lists.withColumn("alone", F.col("n") - F.size("common"))
     length = F.col("n") - least_common(F.col("n"), settings) + 1 - F.col("alone")
@@ -205,10 +205,10 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
 
 def links(sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(a, b): similar pairs of points that join every component; ``sets`` is a table of point, n, shingles and bits, all points distinct."""
-    rows = persist_table(rare_prefixes(sets, settings), "prefixes")
+    rows = persist_table(rare_prefixes(sets, settings), "prefixes", "none")
     held = F.struct("point", "n", "place", "bits")
     middle = [F.min_by(held, F.xxhash64("point", F.lit(k))).alias(f"m{k}") for k in range(settings.centres)]
-    meeting = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), *middle).filter("sets > 1")
+    meeting = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets", "none"), *middle).filter("sets > 1")
     centres = meeting.select("shingle", F.explode(F.array(*[f"m{k}" for k in range(settings.centres)])).alias("m")).select("shingle", "m.*").distinct()
     x, y = rows.alias("x"), persist_table(centres, "centres").alias("y")
     near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.point") != F.col("y.point")) & may_link("x", "y", settings))
@@ -225,7 +225,7 @@ def links(sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 #: Near copies share four fifths of their runs of five words.
-NEAR_COPIES = Settings(shingle=5, percent=80, extra=10)
+NEAR_COPIES = Settings(shingle=5, percent=80)
 
 
 def one_of_each(docs: DataFrame, settings: Settings = NEAR_COPIES) -> DataFrame:
@@ -251,16 +251,16 @@ def similar_groups(docs: DataFrame, settings: Settings = Settings(), with_text:
     themselves by 64 bits of hash, whole sets by 128. Only doc_id and text are read, so other columns cannot clash. An empty table
     gives no rows.
     """
-    rows = persist_table(marked(docs, settings, with_text), "marked")
+    rows = persist_table(marked(docs, settings, with_text), "marked", "none")
     classes = persist_table(rows.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     kept = persist_table(by_low_prefix(rows, classes, settings).select("digest", "first"), "low")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("t")
     owners = kept.select("first").distinct().alias("k")
     chosen = texts.join(owners, F.col("t.doc_id").eqNullSafe(F.col("k.first")), "left_semi")
     found = whole_sets(chosen, settings).join(kept.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    sets = persist_table(found.withColumn("point", F.monotonically_increasing_id()), "sets")
+    sets = persist_table(found.withColumn("point", F.monotonically_increasing_id()), "sets", "none")
     alive = persist_table(by_high_prefix(sets, settings), "high")
-    able = persist_table(sets.join(alive, "point", "left_semi"), "able")
+    able = persist_table(sets.join(alive, "point", "left_semi"), "able", "none")
 
     roots = components(persist_table(links(able, settings), "near"))
     linked = roots.select(F.col("node").alias("point"), "root").union(roots.select(F.col("root").alias("point"), "root").distinct())

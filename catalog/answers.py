@@ -84,6 +84,62 @@ def i04(spark, sf):
     return responses.response_problem(rows).select("event_id", "failure_stage")
 
 
+@query(
+    "i02_message_text",
+    """WITH b AS (SELECT event_id, event_type, 'k' || user_id AS k FROM events)
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN event_type || chr(10) || k || chr(10) || 'seen' WHEN 2 THEN '[{"type": "reasoning", "text": "' || k || '"}]'
+  WHEN 3 THEN '{"text": "' || k || '"}' WHEN 4 THEN '{open ' || k ELSE CAST(event_id AS VARCHAR) END AS content FROM b""",
+)
+def i02_message(spark, sf):
+    """Contents of every kind: a string, a list of blocks and bare items, reasoning alone, an object, no JSON, a number."""
+    no, kind, key = F.col("event_id") % 6, F.col("event_type"), F.concat(F.lit("k"), "user_id")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    listed = F.concat(
+        F.lit('["'), kind, F.lit('", {"type": "Thinking", "text": "no"}, {"type": "text", "text": null, "content": '), quoted(key), F.lit('}, {"text": " "}, {"text": ["x"]}, "seen"]')
+    )
+    raw = (
+        F.when(no == 0, quoted(kind)).when(no == 1, listed).when(no == 2, F.concat(F.lit('[{"type": "reasoning", "text": '), quoted(key), F.lit("}]")))
+        .when(no == 3, F.concat(F.lit('{"text": '), quoted(key), F.lit("}"))).when(no == 4, F.concat(F.lit("{open "), key)).otherwise(F.col("event_id").cast("string"))
+    )
+    rows = table(spark, sf, "events").select("event_id", raw.alias("raw"))
+    return rows.select("event_id", responses.message_text(F.col("raw")).alias("content"))
+
+
+@query(
+    "i04_tool_schemas",
+    """SELECT event_id, 'tool_actions' AS schema, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'schema_validate' WHEN 2 THEN '' WHEN 3 THEN 'schema_validate' WHEN 4 THEN 'json_extract' ELSE '' END AS failure_stage FROM events
+UNION ALL SELECT event_id, 'tool_analysis', CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'schema_validate' WHEN 2 THEN 'schema_validate' WHEN 3 THEN 'schema_validate' WHEN 4 THEN '' ELSE '' END FROM events""",
+)
+def i04_tools(spark, sf):
+    """Requests for tool actions, and analyses that name files and lines themselves; lines have to be whole numbers."""
+    no, line = F.col("event_id") % 6, F.col("user_id").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    action = '{"chain_id": "C", "actions": [{"tool": "%s", "file": "a.v", "line_start": '
+    actions = (
+        F.when(no == 0, text(action % "read_around", line, ', "line_end": null, "query": null}]}'))
+        .when(no == 1, text(action % "delete_file", line, "}]}"))
+        .when(no == 2, text('{"chain_id": "C", "more": ', line, "}"))
+        .when(no == 3, text(action % "search_in_file", line, '.5, "query": "q"}]}'))
+        .when(no == 4, text('{"chain_id" ', line))
+        .otherwise(text(action % "search_in_file", '"', line, '", "query": "q", "reason": "r"}]}'))
+    )
+    head = '{"chain_id": "C", "has_finding": true, "finding": {"summary": "s", "reasoning_summary": "r", "security_impact": "i", "evidence": ['
+    item = '{"file": "a.v", "description": "d", "supports_claim": "c", "evidence_role": "impact", "line_start": '
+    analysis = (
+        F.when(no == 0, text(head, item, line, ', "line_end": ', line, ', "module": "m"}]}}'))
+        .when(no == 1, text(head, item, line, "}]}}"))
+        .when(no == 2, text(head, item, line, ', "line_end": "x"}]}}'))
+        .when(no == 3, text(head, item, line, '.25, "line_end": ', line, "}]}}"))
+        .when(no == 4, text('{"chain_id": "C', line, '", "has_finding": "no", "finding": null}'))
+        .otherwise(text(head, item, line, '.0, "line_end": "', line, '"}]}}'))
+    )
+    out = []
+    for name, payload in (("tool_actions", actions), ("tool_analysis", analysis)):
+        rows = table(spark, sf, "events").select("event_id", F.lit(name).alias("schema"), payload.alias("payload"))
+        out.append(responses.response_problem(rows, schema=name).drop("payload"))
+    return out[0].unionByName(out[1])
+
+
 # ------------------------------------------------------------ i05 to i07
 
 EVIDENCE_SQL = """

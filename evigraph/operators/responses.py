@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,6 +52,37 @@ def content_text(blocks: Column) -> Column:
     return F.regexp_replace(F.array_join(parts, "\n"), r"^\s+|\s+\z", "")
 
 
+def message_text(content: Column) -> Column:
+    """Text of a message from the JSON of its content: a string as it is, a list block by block, anything else written out.
+
+    Of a list, objects of type thinking or reasoning are skipped; others give their ``text`` or else their ``content`` where
+    that is a string, bare items are written out. If nothing readable is left, or it is neither, the content stays as it is.
+    """
+    doc = F.try_parse_json(content)
+    plain = F.try_variant_get(doc, "$", "string")
+    blocks = F.try_variant_get(doc, "$", "array<variant>")
+
+    def string_at(block: Column, path: str) -> Column:
+        value = F.try_variant_get(block, path, "variant")
+        return F.when(_kind(value) == "STRING", F.try_variant_get(block, path, "string"))
+
+    def one(block: Column) -> Column:
+        kind = F.lower(F.coalesce(F.try_variant_get(block, "$.type", "string"), F.lit("")))
+        bare = ~F.startswith(_kind(block), F.lit("OBJECT"))
+        found = F.coalesce(string_at(block, "$.text"), string_at(block, "$.content"))
+        return F.when(bare, F.try_variant_get(block, "$", "string")).when(~kind.isin("thinking", "reasoning"), found)
+
+    parts = F.filter(F.transform(blocks, one), lambda t: t.isNotNull() & t.rlike(r"\S"))
+    joined = F.regexp_replace(F.array_join(parts, "\n"), r"^\s+|\s+\z", "")
+    listed = F.startswith(_kind(doc), F.lit("ARRAY"))
+    return (
+        F.when(doc.isNull(), content)
+        .when(_kind(doc) == "STRING", plain)
+        .when(listed, F.coalesce(F.nullif(joined, F.lit("")), content))
+        .otherwise(content)
+    )
+
+
 def estimated_tokens(text: Column) -> Column:
     return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4))).cast("long")
 
@@ -80,38 +114,108 @@ def _field(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "variant")
 
 
-def _text_ok(doc: Column, path: str, required: bool = True) -> Column:
-    value = _field(doc, path)
-    return F.coalesce(_kind(value) == "STRING", F.lit(not required))
+@dataclass(frozen=True)
+class Rule:
+    """One value of a document: where it is, of which kind, which values it may have, whether it must be there.
 
+    A path with ``[]`` leads into each item of a list. Objects that are not there excuse what is below them if ``optional`` names
+    their path. Kinds: text, flag, whole (a whole number, or text that is one), list.
+    """
 
-def _one_of(doc: Column, path: str, values: list[str], required: bool = True) -> Column:
-    return _text_ok(doc, path, required) & F.coalesce(F.try_variant_get(doc, path, "string").isin(*values), F.lit(not required))
+    path: str
+    kind: str = "text"
+    values: tuple[str, ...] = ()
+    required: bool = True
+    nullable: bool = False
 
 
-def response_problem(rows: DataFrame, payload: str = "payload", out: str = "failure_stage") -> DataFrame:
+def _value_ok(doc: Column, path: str, rule: Rule) -> Column:
+    value = _field(doc, path)
+    kind, text = _kind(value), F.try_variant_get(doc, path, "string")
+    if rule.kind == "flag":
+        good = (kind == "BOOLEAN") | F.lower(text).isin("true", "false", "yes", "no", "on", "off", "t", "f", "y", "n", "1", "0")
+    elif rule.kind == "whole":
+        number = F.try_variant_get(doc, path, "double")
+        is_number = kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)") & (number == F.floor(number))
+        good = is_number | (kind == "BOOLEAN") | ((kind == "STRING") & F.trim(text).rlike(r"^[+-]?\d+$"))
+    elif rule.kind == "list":
+        good = F.startswith(kind, F.lit("ARRAY"))
+    else:
+        good = kind == "STRING"
+        if rule.values:
+            good = good & text.isin(*rule.values)
+    missing = F.lit(not rule.required)
+    null = F.lit(rule.nullable)
+    return F.when(value.isNull(), missing).when(kind == "VOID", null).otherwise(F.coalesce(good, F.lit(False)))
+
+
+def _items_ok(items: Column, path: str, rule: Rule) -> Column:
+    return items.isNull() | F.forall(items, lambda item: _value_ok(item, path, rule))
+
+
+def document_valid(doc: Column, rules: list[Rule], optional: tuple[str, ...] = ()) -> Column:
+    """Whether a VARIANT keeps all rules; unknown fields are allowed. Objects named in ``optional`` may be absent or null."""
+    checks = []
+    for rule in rules:
+        outer, _, inner = rule.path.partition("[].")
+        if inner:
+            ok = _items_ok(F.try_variant_get(doc, outer, "array<variant>"), f"$.{inner}", rule)
+        else:
+            ok = _value_ok(doc, rule.path, rule)
+        for parent in optional:
+            if rule.path.startswith(f"{parent}."):
+                body = _field(doc, parent)
+                ok = body.isNull() | F.coalesce(_kind(body) == "VOID", F.lit(False)) | ok
+        checks.append(F.coalesce(ok, F.lit(False)))
+    return reduce(lambda a, b: a & b, checks)
+
+
+def _analysis_rules(evidence: list[Rule]) -> list[Rule]:
+    finding = "$.finding"
+    return [
+        Rule("$.chain_id"),
+        Rule("$.has_finding", "flag"),
+        Rule("$.no_finding_reason", required=False),
+        Rule(f"{finding}.summary"),
+        Rule(f"{finding}.reasoning_summary"),
+        Rule(f"{finding}.security_impact"),
+        Rule(f"{finding}.confidence", values=tuple(CONFIDENCES), required=False),
+        Rule(f"{finding}.uncertainty_or_missing_evidence", required=False),
+        Rule(f"{finding}.evidence", "list", required=False),
+        *[replace(rule, path=f"{finding}.evidence[].{rule.path}") for rule in evidence],
+    ]
+
+
+def _evidence_rules(*own: Rule) -> list[Rule]:
+    return [*own, Rule("evidence_role", values=tuple(EVIDENCE_ROLES)), Rule("description"), Rule("supports_claim")]
+
+
+#: An analysis that cites snippets, and one that cites files and lines itself.
+ANALYSIS_RULES = _analysis_rules(_evidence_rules(Rule("snippet_id")))
+TOOL_ANALYSIS_RULES = _analysis_rules(
+    _evidence_rules(Rule("file"), Rule("line_start", "whole"), Rule("line_end", "whole"), Rule("module", required=False), Rule("object", required=False))
+)
+#: A request for tool actions.
+TOOL_ACTION_RULES = [
+    Rule("$.chain_id"),
+    Rule("$.actions", "list", required=False),
+    Rule("$.actions[].tool", values=tuple(TOOLS)),
+    Rule("$.actions[].file"),
+    Rule("$.actions[].line_start", "whole", required=False, nullable=True),
+    Rule("$.actions[].line_end", "whole", required=False, nullable=True),
+    Rule("$.actions[].query", required=False, nullable=True),
+    Rule("$.actions[].reason", required=False),
+]
+#: Documents and the objects in them that may be absent.
+SCHEMAS = {"analysis": (ANALYSIS_RULES, ("$.finding",)), "tool_analysis": (TOOL_ANALYSIS_RULES, ("$.finding",)), "tool_actions": (TOOL_ACTION_RULES, ())}
+
+
+def response_problem(rows: DataFrame, payload: str = "payload", out: str = "failure_stage", schema: str = "analysis") -> DataFrame:
     """Adds '' for a valid response, else the stage it fails at: json_extract or schema_validate."""
     rows = rows.withColumn("_doc", F.try_parse_json(F.col(payload)))
     doc = F.col("_doc")
-    flag = _field(doc, "$.has_finding")
-    flag_text = F.lower(F.try_variant_get(doc, "$.has_finding", "string"))
-    flag_ok = (_kind(flag) == "BOOLEAN") | flag_text.isin("true", "false", "yes", "no", "on", "off", "t", "f", "y", "n", "1", "0")
-    finding = _field(doc, "$.finding")
-    items = F.try_variant_get(doc, "$.finding.evidence", "array<variant>")
-    evidence = _field(doc, "$.finding.evidence")
-
-    def item_ok(e: Column) -> Column:
-        texts = _text_ok(e, "$.snippet_id") & _text_ok(e, "$.description") & _text_ok(e, "$.supports_claim")
-        return texts & _one_of(e, "$.evidence_role", EVIDENCE_ROLES)
-
-    body_ok = (
-        _text_ok(doc, "$.finding.summary") & _text_ok(doc, "$.finding.reasoning_summary") & _text_ok(doc, "$.finding.security_impact")
-        & _one_of(doc, "$.finding.confidence", CONFIDENCES, False) & _text_ok(doc, "$.finding.uncertainty_or_missing_evidence", False)
-        & (evidence.isNull() | F.coalesce(F.forall(items, item_ok), F.lit(False)))
-    )
-    no_body = finding.isNull() | F.coalesce(_kind(finding) == "VOID", F.lit(False))
-    valid = _text_ok(doc, "$.chain_id") & F.coalesce(flag_ok, F.lit(False)) & _text_ok(doc, "$.no_finding_reason", False) & (no_body | body_ok)
-    stage = F.when(F.col(payload).isNull() | doc.isNull(), "json_extract").when(~valid, "schema_validate").otherwise(F.lit(""))
+    rules, optional = SCHEMAS[schema]
+    stage = F.when(F.col(payload).isNull() | doc.isNull(), "json_extract").when(~document_valid(doc, rules, optional), "schema_validate").otherwise(F.lit(""))
     return rows.withColumn(out, stage).drop("_doc")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from catalog import domain
 from catalog.registry import query, table
 from evigraph.operators import cost
-from evigraph.session import work_path
-from evigraph.sources import files, tables
+from evigraph.session import persist_table, work_path
+from evigraph.sources import files, runs, tables
 
 
 
@@ -178,6 +178,48 @@ def a11(spark, sf):
     return rows.select("batch_id", "run_id", "run_dir", "model", "answer_chars", "trace")
 
 
+def _write_batch(root, batches):
+    """Run folders of a batch; some have no answer or no trace, and the name of the trace differs."""
+    for batch in batches:
+        for conv_id, turn, role, text in batch.itertuples(index=False):
+            store, folder = pafs.FileSystem.from_uri(f"{root}/runs/c{conv_id}/rep_{turn}")
+            store.create_dir(folder, recursive=True)
+            found = {"run_metadata.json": json.dumps({"run_id": f"meta{conv_id}_{turn}", "provider": "p", "model": role}, indent=1)}
+            if turn % 3:
+                found["final_answer.json"] = json.dumps({"text": text})
+            if turn % 2 == 0:
+                found["tool_observations.jsonl" if conv_id % 2 else "tool_trace.jsonl"] = "".join(json.dumps({"step": i, "size": len(x)}) + "\n" for i, x in enumerate(text.split("\n")))
+            for name, content in found.items():
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content.encode())
+        yield pd.DataFrame({"n": [len(batch)]})
+
+
+@query(
+    "a11_run_folders",
+    """WITH r AS (SELECT *, 'c' || conv_id AS c, string_split(text, chr(10)) AS xs FROM conversations WHERE conv_id % 5 <> 0)
+SELECT 'batch' AS batch_id, CASE WHEN conv_id % 3 = 0 THEN 'run' || conv_id || '_' || turn ELSE 'meta' || conv_id || '_' || turn END AS run_id, role AS model, c AS input_scope, CAST(turn AS INT) AS repetition,
+  CASE WHEN turn % 3 <> 0 THEN length(text) END AS answer_chars, CASE WHEN turn % 2 <> 0 OR conv_id % 2 = 0 THEN 'tool_trace.jsonl' ELSE 'tool_observations.jsonl' END AS trace, turn % 2 = 0 AS trace_exists,
+  CASE WHEN turn % 2 = 0 THEN len(xs) ELSE 0 END AS steps, CASE WHEN turn % 2 = 0 THEN CAST(list_sum([length(x) FOR x IN xs]) AS BIGINT) ELSE 0 END AS traced_chars FROM r""",
+)
+def a11_folders(spark, sf):
+    root = work_path(spark, "batch")
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    conv.repartition(8).mapInPandas(lambda batches: _write_batch(root, batches), "n long").write.format("noop").mode("append").save()
+    run = F.struct(
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("run"), "conv_id", F.lit("_"), "turn")).alias("run_id"), F.concat(F.lit(f"{root}/runs/c"), "conv_id", F.lit("/rep_"), "turn").alias("run_dir"),
+        F.when(F.col("conv_id") % 5 == 0, "failed").otherwise(F.lit("success")).alias("status"), F.concat(F.lit("c"), "conv_id").alias("scope_id"), F.col("turn").alias("repetition"),
+    )
+    manifest = conv.groupBy().agg(F.lit("batch").alias("batch_id"), F.collect_list(run).alias("runs"))
+    manifest.coalesce(1).write.json(f"{root}/{runs.MANIFEST}")
+    loaded = persist_table(runs.load_batch(spark, root), "loaded-runs")
+    traced = runs.trace_rows(spark, root, loaded, "step int, size long").groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"), F.sum("size").alias("traced_chars"))
+    rows = loaded.join(traced, "run_id", "left").fillna(0, ["steps", "traced_chars"])
+    trace = F.regexp_extract("trace_path", "([^/]*)$", 1).alias("trace")
+    answer = F.length(F.get_json_object("final_answer", "$.text")).alias("answer_chars")
+    return rows.select("batch_id", "run_id", "model", "input_scope", "repetition", answer, trace, "trace_exists", "steps", "traced_chars")
+
+
 @query(
     "a12_trace_resolution",
     """WITH f AS (SELECT user_id, min(CASE WHEN event_type = 'click' AND user_id % 4 = 0 THEN 1 WHEN event_type = 'view' AND user_id % 4 < 3 THEN 2 END) AS p FROM events GROUP BY 1)

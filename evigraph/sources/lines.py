@@ -7,7 +7,7 @@ lines are written once with these places, and every later step reads that table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,6 +18,12 @@ PLACE = ["file_ord", "line_ord", "ord"]
 BYTE_ORDER_MARK = "﻿"
 
 
+def file_path() -> Column:
+    """The name of the file that a row was read from, as it was given and not as a URL writes it."""
+    encoded = F.col("_metadata.file_path")
+    return F.coalesce(F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), encoded)
+
+
 def numbered_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(file, file_ord, line_ord, ord, value): every line, blank ones too, ended by a line feed and without it.
 
@@ -26,7 +32,7 @@ def numbered_lines(spark: SparkSession, path: str | list[str], glob: str | None
     """
     options = {"lineSep": "\n", "recursiveFileLookup": True, **({"pathGlobFilter": glob} if glob else {})}
     read = spark.read.options(**options).text(path)
-    rows = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    rows = read.select("value", file_path().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
     kept = persist_table(rows, "lines")
     splits = kept.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     order = ["file", "_block"]
@@ -95,11 +101,12 @@ def _header(spark: SparkSession, line: str, options: dict[str, str]) -> list[str
     return [c for c in cells if c is not None]
 
 
-def json_records(lines: DataFrame, schema: str, strict: bool = True) -> DataFrame:
-    """The fields of ``schema`` and the places, one row per line that holds a JSON object; blank lines are skipped.
+def json_records(lines: DataFrame, schema: str, strict: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns, the fields of ``schema`` and the places, one row per line that holds a JSON object; blank lines are skipped.
 
     Other lines fail, or are skipped where ``strict`` is off.
     """
+    own = keep or []
     full = lines.filter(F.trim("value") != "")
     listed = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
     is_object = F.startswith(F.ltrim("value"), F.lit("{")) & listed.isNotNull()
@@ -108,4 +115,4 @@ def json_records(lines: DataFrame, schema: str, strict: bool = True) -> DataFram
         checked = full.withColumn("value", F.when(is_object, F.col("value")).otherwise(F.raise_error(why).cast("string")))
     else:
         checked = full.filter(is_object)
-    return checked.select(F.from_json("value", schema).alias("r"), *PLACE).select("r.*", *PLACE)
+    return checked.select(*own, F.from_json("value", schema).alias("r"), *PLACE).select(*own, "r.*", *PLACE)

@@ -8,6 +8,7 @@ any answer can need, so a vector that many rows share costs no more than one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
@@ -37,8 +38,9 @@ class Settings:
     probes: tuple[int, ...] = (1, 1, 1)
     seed: int = 11
     shard_rows: int = 4096
+    probe_rows: int = 200_000
     sample: int = 128
-    points: int = 4096
+    points: int = 2048
     recall: float = 0.97
     candidate_cost: float = 16.0
 
@@ -50,18 +52,16 @@ class Settings:
         return list(range(k, min(k + 1, len(self.probes)) + 1))
 
 
-#: Queries that are probed at a time.
-STEP = 64
-
-
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Rows times the normalised Hadamard matrix; their length is a power of two."""
+    """Rows times the normalised Hadamard matrix, by butterflies; their length is a power of two."""
     n, half = x.shape[1], 1
+    x = np.ascontiguousarray(x.T) / np.sqrt(n)
     while half < n:
-        pairs = x.reshape(len(x), -1, 2, half)
-        x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(x), -1)
+        pairs = x.reshape(-1, 2, half, x.shape[1])
+        low, high = pairs[:, 0] + pairs[:, 1], pairs[:, 0] - pairs[:, 1]
+        pairs[:, 0], pairs[:, 1] = low, high
         half *= 2
-    return x / np.sqrt(n)
+    return np.ascontiguousarray(x.T)
 
 
 def rotated(vectors: np.ndarray, table: int, rotation: int, seed: int) -> np.ndarray:
@@ -93,11 +93,10 @@ def _pairs(rows: int, columns: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(wide)), wide), np.concatenate([np.arange(n) for n in wide])
 
 
-def codes(vectors: np.ndarray, table: int, rotations: int, probes: int, seed: int) -> np.ndarray:
-    """The ``probes`` codes of a table nearest to each vector, its own first."""
-    kept, cost = np.zeros((len(vectors), 1), dtype=np.int64), np.zeros((len(vectors), 1))
-    for rotation in range(rotations):
-        y = rotated(vectors, table, rotation, seed)
+def nearest_codes(turned: list[np.ndarray], probes: int) -> np.ndarray:
+    """The ``probes`` codes nearest to each vector, its own first, from its rotations in a table."""
+    kept, cost = np.zeros((len(turned[0]), 1), dtype=np.int64), np.zeros((len(turned[0]), 1))
+    for y in turned:
         axes, farther = ranked_axes(y, probes)
         i, j = _pairs(kept.shape[1], axes.shape[1], probes)
         kept = kept[:, i] * (2 * y.shape[1]) + axes[:, j]
@@ -110,42 +109,69 @@ def codes(vectors: np.ndarray, table: int, rotations: int, probes: int, seed: in
     return kept
 
 
-def probes_for(queries: np.ndarray, near: np.ndarray, of: np.ndarray, rotations: int, least: int, settings: Settings) -> int:
-    """Probes, at least ``least``, by which the share ``recall`` of vectors ``near`` is met by the queries numbered ``of``."""
-    every = (2 << max(0, queries.shape[1] - 1).bit_length()) ** rotations
-    most = min(every, max(64, least))
-    while True:
-        rank = np.full(len(near), every)
+def codes(vectors: np.ndarray, table: int, rotations: int, probes: int, seed: int) -> np.ndarray:
+    """The ``probes`` codes of a table nearest to each vector, its own first."""
+    return nearest_codes([rotated(vectors, table, rotation, seed) for rotation in range(rotations)], probes)
+
+
+class Trial:
+    """Some queries, turned once in every table, and the axes of the points that they are tried on."""
+
+    def __init__(self, queries: np.ndarray, tried: np.ndarray, rotations: int, settings: Settings):
+        self.count, self.tables = len(queries), settings.tables
+        self.turned, self.axes = [], []
+        both = np.concatenate([queries, tried])
         for table in range(settings.tables):
-            own = codes(near, table, rotations, 1, settings.seed)[:, 0]
-            for at in range(0, len(queries), STEP):
-                probed = codes(queries[at : at + STEP], table, rotations, most, settings.seed)
-                pairs = np.flatnonzero((of >= at) & (of < at + STEP))
-                hit = probed[of[pairs] - at] == own[pairs, None]
-                rank[pairs] = np.minimum(rank[pairs], np.where(hit.any(axis=1), hit.argmax(axis=1), every))
-        needed = int(np.sort(rank)[max(0, int(np.ceil(settings.recall * len(rank))) - 1)]) + 1
-        if needed <= most or most == every:
-            return min(every, max(least, needed))
-        most = min(every, 4 * most)
-
-
-def candidates_for(queries: np.ndarray, points: np.ndarray, rotations: int, probes: int, settings: Settings) -> float:
-    """The mean over the queries of how many of the points share a probed code, a point counted once a table."""
-    met = 0
-    for table in range(settings.tables):
-        own = np.sort(codes(points, table, rotations, 1, settings.seed)[:, 0])
-        for at in range(0, len(queries), STEP):
-            probed = codes(queries[at : at + STEP], table, rotations, probes, settings.seed)
+            ys = [rotated(both, table, rotation, settings.seed) for rotation in range(rotations)]
+            self.turned.append([y[: self.count] for y in ys])
+            self.axes.append([ranked_axes(y[self.count :], 1)[0][:, 0] for y in ys])
+        self.width = 2 * ys[0].shape[1]
+
+    def own(self, table: int, rotations: int) -> np.ndarray:
+        code = np.zeros(len(self.axes[table][0]), dtype=np.int64)
+        for axes in self.axes[table][:rotations]:
+            code = code * self.width + axes
+        return code
+
+    def probed(self, table: int, rotations: int, probes: int) -> np.ndarray:
+        return nearest_codes(self.turned[table][:rotations], probes)
+
+    def probes_for(self, near: slice, of: np.ndarray, rotations: int, least: int, recall: float) -> int:
+        """Probes, at least ``least``, by which the share ``recall`` of the points ``near`` is met by the queries numbered ``of``."""
+        every = self.width**rotations
+        most = min(every, max(64, least))
+        while True:
+            rank = np.full(len(of), every)
+            for table in range(self.tables):
+                hit = self.probed(table, rotations, most)[of] == self.own(table, rotations)[near, None]
+                rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), every))
+            needed = int(np.sort(rank)[max(0, int(np.ceil(recall * len(rank))) - 1)]) + 1
+            if needed <= most or most == every:
+                return min(every, max(least, needed))
+            most = min(every, 4 * most)
+
+    def candidates_for(self, points: slice, rotations: int, probes: int) -> float:
+        """The mean over the queries of how many of the points share a probed code, a point counted once a table."""
+        met = 0
+        for table in range(self.tables):
+            own, probed = np.sort(self.own(table, rotations)[points]), self.probed(table, rotations, probes)
             met += int((np.searchsorted(own, probed, "right") - np.searchsorted(own, probed, "left")).sum())
-    return met / len(queries)
+        return met / self.count
+
+
+def probes_for(queries: np.ndarray, near: np.ndarray, of: np.ndarray, rotations: int, least: int, settings: Settings) -> int:
+    """Probes, at least ``least``, by which the share ``recall`` of vectors ``near`` is met by the queries numbered ``of``."""
+    return Trial(queries, near, rotations, settings).probes_for(slice(None), of, rotations, least, settings.recall)
 
 
 def cheapest(queries: np.ndarray, near: np.ndarray, of: np.ndarray, points: np.ndarray, total: int, settings: Settings) -> tuple[int, int]:
     """Rotations and probes of the cheapest plan; ``near`` are the nearest of the queries numbered ``of``, ``points`` some of all."""
+    choice = settings.rotations(total, queries.shape[1])
+    trial = Trial(queries, np.concatenate([near, points]), max(choice), settings)
     plans = []
-    for rotations in settings.rotations(total, queries.shape[1]):
-        probes = probes_for(queries, near, of, rotations, settings.probes[rotations - 1], settings)
-        met = candidates_for(queries, points, rotations, probes, settings) * total / len(points)
+    for rotations in choice:
+        probes = trial.probes_for(slice(0, len(near)), of, rotations, settings.probes[rotations - 1], settings.recall)
+        met = trial.candidates_for(slice(len(near), None), rotations, probes) * total / len(points)
         plans.append((settings.candidate_cost * met + settings.tables * probes, rotations, probes))
     return min(plans)[1:]
 
@@ -244,7 +270,10 @@ def _nearest_of_length(rows: DataFrame, neighbours: int, settings: Settings, que
         rotations, probes = cheapest(_matrix(firsts["asked"]), _matrix(pairs["embedding"]), of, _matrix(some["embedding"]), total, settings)
 
     index = points.select("point", "embedding").mapInPandas(coded(rotations, 1), schema)
-    probing = distinct_queries.select(F.col("query").alias("point"), "embedding").mapInPandas(coded(rotations, probes), schema)
+    # as many tasks as the probed codes need: a code is a row, and a task makes about ``probe_rows`` of them
+    asked_tasks = max(1, math.ceil(distinct_queries.count() * tables * probes / settings.probe_rows))
+    dealt = distinct_queries.select(F.col("query").alias("point"), "embedding").repartition(asked_tasks)
+    probing = dealt.mapInPandas(coded(rotations, probes), schema)
     # neither side is small, whatever its size is guessed to be behind Python code
     met = index.hint("merge").join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
     packed = persist_table(met.groupBy("shard", "query").agg(F.collect_set("point").alias("found")), "candidates")

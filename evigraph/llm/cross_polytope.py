@@ -27,8 +27,8 @@ from evigraph.session import persist_table
 class Settings:
     """How points are coded; rotations and probes follow from the data.
 
-    For ``sample`` queries the nearest points are found by all distances. With each number of rotations that fits the rows (a
-    bucket of ``bucket_rows`` asks for one more), probes are raised from ``probes`` until the tables meet the share ``recall`` of
+    For ``sample`` queries the nearest points are found by all distances. With ``tables`` tables, a half, a quarter and an eighth
+    of them, and each number of rotations that fits the rows (a bucket of ``bucket_rows`` asks for one more), probes are raised from ``probes`` until the tables meet the share ``recall`` of
     them. Of these plans the cheapest is taken: a candidate, which is joined, collected and measured, costs ``candidate_cost``
     times as much as a probed code, and candidates are estimated from ``points`` points.
     """
@@ -136,24 +136,29 @@ class Trial:
     def probed(self, table: int, rotations: int, probes: int) -> np.ndarray:
         return nearest_codes(self.turned[table][:rotations], probes)
 
-    def probes_for(self, near: slice, of: np.ndarray, rotations: int, least: int, recall: float) -> int:
-        """Probes, at least ``least``, by which the share ``recall`` of the points ``near`` is met by the queries numbered ``of``."""
+    def probes_for(self, near: slice, of: np.ndarray, tables: int, rotations: int, least: int, recall: float, most_probed: float = math.inf) -> int | None:
+        """Probes, at least ``least``, by which the share ``recall`` of the points ``near`` is met by the queries numbered ``of``.
+
+        None if these would be more than ``most_probed`` in all tables.
+        """
         every = self.width**rotations
         most = min(every, max(64, least))
         while True:
             rank = np.full(len(of), every)
-            for table in range(self.tables):
+            for table in range(tables):
                 hit = self.probed(table, rotations, most)[of] == self.own(table, rotations)[near, None]
                 rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), every))
             needed = int(np.sort(rank)[max(0, int(np.ceil(recall * len(rank))) - 1)]) + 1
             if needed <= most or most == every:
                 return min(every, max(least, needed))
+            if tables * most > most_probed:
+                return None
             most = min(every, 4 * most)
 
-    def candidates_for(self, points: slice, rotations: int, probes: int) -> float:
+    def candidates_for(self, points: slice, tables: int, rotations: int, probes: int) -> float:
         """The mean over the queries of how many of the points share a probed code, a point counted once a table."""
         met = 0
-        for table in range(self.tables):
+        for table in range(tables):
             own, probed = np.sort(self.own(table, rotations)[points]), self.probed(table, rotations, probes)
             met += int((np.searchsorted(own, probed, "right") - np.searchsorted(own, probed, "left")).sum())
         return met / self.count
@@ -161,18 +166,23 @@ class Trial:
 
 def probes_for(queries: np.ndarray, near: np.ndarray, of: np.ndarray, rotations: int, least: int, settings: Settings) -> int:
     """Probes, at least ``least``, by which the share ``recall`` of vectors ``near`` is met by the queries numbered ``of``."""
-    return Trial(queries, near, rotations, settings).probes_for(slice(None), of, rotations, least, settings.recall)
+    return Trial(queries, near, rotations, settings).probes_for(slice(None), of, settings.tables, rotations, least, settings.recall)
 
 
-def cheapest(queries: np.ndarray, near: np.ndarray, of: np.ndarray, points: np.ndarray, total: int, settings: Settings) -> tuple[int, int]:
-    """Rotations and probes of the cheapest plan; ``near`` are the nearest of the queries numbered ``of``, ``points`` some of all."""
+def cheapest(queries: np.ndarray, near: np.ndarray, of: np.ndarray, points: np.ndarray, total: int, settings: Settings) -> tuple[int, int, int]:
+    """Tables, rotations and probes of the cheapest plan; ``near`` are the nearest of the queries numbered ``of``, ``points`` some of all."""
     choice = settings.rotations(total, queries.shape[1])
     trial = Trial(queries, np.concatenate([near, points]), max(choice), settings)
     plans = []
-    for rotations in choice:
-        probes = trial.probes_for(slice(0, len(near)), of, rotations, settings.probes[rotations - 1], settings.recall)
-        met = trial.candidates_for(slice(len(near), None), rotations, probes) * total / len(points)
-        plans.append((settings.candidate_cost * met + settings.tables * probes, rotations, probes))
+    # many tables first: a plan that probes more than the best one costs in all is not followed further
+    for tables in sorted({max(1, settings.tables >> i) for i in range(4)}, reverse=True):
+        for rotations in choice:
+            best = min(plans)[0] if plans else math.inf
+            probes = trial.probes_for(slice(0, len(near)), of, tables, rotations, settings.probes[rotations - 1], settings.recall, best)
+            if probes is None:
+                continue
+            met = trial.candidates_for(slice(len(near), None), tables, rotations, probes) * total / len(points)
+            plans.append((settings.candidate_cost * met + tables * probes, tables, rotations, probes))
     return min(plans)[1:]
 
 
@@ -214,9 +224,9 @@ def _nearest_of_length(rows: DataFrame, neighbours: int, settings: Settings, que
     queries = persist_table(asked.select(F.col("vec_id").alias("query_id"), "point", "embedding"), "queries")
 
     total = points.count()
-    tables, seed = settings.tables, settings.seed
+    seed = settings.seed
 
-    def coded(rotations: int, probe: int):
+    def coded(tables: int, rotations: int, probe: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for at in range(0, len(batch), 512):
@@ -262,18 +272,18 @@ def _nearest_of_length(rows: DataFrame, neighbours: int, settings: Settings, que
     nearby = W.partitionBy("query").orderBy("score", "point")
     true = ranked(everywhere(sample)).filter("query <> point").withColumn("_n", F.row_number().over(nearby)).filter(F.col("_n") <= neighbours)
     pairs = true.join(points.select("point", "embedding"), "point").join(sample.select("query", F.col("embedding").alias("asked")), "query").toPandas()
-    rotations, probes = settings.rotations(total, 1)[0], 1
+    tables, rotations, probes = settings.tables, settings.rotations(total, 1)[0], 1
     if len(pairs):
         firsts = pairs.drop_duplicates("query").reset_index(drop=True)
         of = pairs["query"].map({q: i for i, q in enumerate(firsts["query"])}).to_numpy()
         some = points.select("point", "embedding").orderBy(F.xxhash64("point", F.lit(seed + 1)), "point").limit(settings.points).toPandas()
-        rotations, probes = cheapest(_matrix(firsts["asked"]), _matrix(pairs["embedding"]), of, _matrix(some["embedding"]), total, settings)
+        tables, rotations, probes = cheapest(_matrix(firsts["asked"]), _matrix(pairs["embedding"]), of, _matrix(some["embedding"]), total, settings)
 
-    index = points.select("point", "embedding").mapInPandas(coded(rotations, 1), schema)
+    index = points.select("point", "embedding").mapInPandas(coded(tables, rotations, 1), schema)
     # as many tasks as the probed codes need: a code is a row, and a task makes about ``probe_rows`` of them
     asked_tasks = max(1, math.ceil(distinct_queries.count() * tables * probes / settings.probe_rows))
     dealt = distinct_queries.select(F.col("query").alias("point"), "embedding").repartition(asked_tasks)
-    probing = dealt.mapInPandas(coded(rotations, probes), schema)
+    probing = dealt.mapInPandas(coded(tables, rotations, probes), schema)
     # neither side is small, whatever its size is guessed to be behind Python code
     met = index.hint("merge").join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
     packed = persist_table(met.groupBy("shard", "query").agg(F.collect_set("point").alias("found")), "candidates")

@@ -30,7 +30,8 @@ class Settings:
     For ``sample`` queries the nearest points are found by all distances. With ``tables`` tables, a half, a quarter and an eighth
     of them, and each number of rotations that fits the rows (a bucket of ``bucket_rows`` asks for one more), probes are raised from ``probes`` until the tables meet the share ``recall`` of
     them. Of these plans the cheapest is taken: a candidate, which is joined, collected and measured, costs ``candidate_cost``
-    times as much as a probed code, and candidates are estimated from ``points`` points.
+    times as much as a probed code, and candidates are estimated from ``points`` points. Fewer tables are tried for the best number
+    of rotations only, and as long as that is cheaper.
     """
 
     tables: int = 96
@@ -173,17 +174,20 @@ def cheapest(queries: np.ndarray, near: np.ndarray, of: np.ndarray, points: np.n
     """Tables, rotations and probes of the cheapest plan; ``near`` are the nearest of the queries numbered ``of``, ``points`` some of all."""
     choice = settings.rotations(total, queries.shape[1])
     trial = Trial(queries, np.concatenate([near, points]), max(choice), settings)
-    plans = []
-    # many tables first: a plan that probes more than the best one costs in all is not followed further
-    for tables in sorted({max(1, settings.tables >> i) for i in range(4)}, reverse=True):
+    cost, plan = math.inf, (settings.tables, choice[0], 1)
+    for tables in (max(1, settings.tables >> i) for i in range(4)):
+        found = []
         for rotations in choice:
-            best = min(plans)[0] if plans else math.inf
-            probes = trial.probes_for(slice(0, len(near)), of, tables, rotations, settings.probes[rotations - 1], settings.recall, best)
-            if probes is None:
-                continue
-            met = trial.candidates_for(slice(len(near), None), tables, rotations, probes) * total / len(points)
-            plans.append((settings.candidate_cost * met + tables * probes, tables, rotations, probes))
-    return min(plans)[1:]
+            # a plan that probes more than the best one costs in all is not followed further
+            probes = trial.probes_for(slice(0, len(near)), of, tables, rotations, settings.probes[rotations - 1], settings.recall, cost)
+            if probes is not None:
+                met = trial.candidates_for(slice(len(near), None), tables, rotations, probes) * total / len(points)
+                found.append((settings.candidate_cost * met + tables * probes, (tables, rotations, probes)))
+        if not found or min(found)[0] >= cost:
+            break
+        cost, plan = min(found)
+        choice = [plan[1]]
+    return plan
 
 
 def _matrix(column: pd.Series) -> np.ndarray:

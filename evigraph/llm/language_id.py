@@ -128,7 +128,7 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> tuple[list[st
     return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def predict(docs: DataFrame, languages: list[str], weights: np.ndarray, settings: Settings = Settings(), keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, languages: list[str], weights: np.ndarray, settings: Settings = Settings(), keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``keep`` columns (default doc_id) with lang_pred and score, one row per row of ``docs``.
 
     Null text, text without a letter and an empty model give ``und`` with score 0. The score is the posterior
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, languages: list[str], weights: np.ndarray, settings
             score[at] = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.select(*(keep or ["doc_id"]), judged("text").alias("_judged")).select(*(keep or ["doc_id"]), "_judged.*")
+    return docs.select(*(keep or ["doc_id"]), judged(text).alias("_judged")).select(*(keep or ["doc_id"]), "_judged.*")
 
 
 def held_out() -> Column:
@@ -174,5 +174,5 @@ def confident(docs: DataFrame, least: float = 0.5, settings: Settings = Settings
     labelled = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
     languages, weights = train(labelled, settings)
     rows, names = by_number(docs)
-    judged = predict(rows.withColumn("text", F.col(names["text"])), languages, weights, settings, list(names.values()))
+    judged = predict(rows, languages, weights, settings, list(names.values()), names["text"])
     return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*names.values()).toDF(*names)

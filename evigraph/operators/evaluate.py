@@ -17,6 +17,7 @@ from evigraph.functions.values import count_where, f1, padded, present, ratio
 
 RUN = ["model_family", "method_name", "repetition"]
 IDENTITY = ["model_family", "method_name"]
+# Names of the metrics, in the order of their columns.
 METRICS = [
     "precision",
     "recall",
@@ -357,6 +358,7 @@ def anyhit_summary(cases: DataFrame, findings: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- failures
 
+# Columns of a failure table.
 FAILURE_COLUMNS = [
     "model_family",
     "method_name",

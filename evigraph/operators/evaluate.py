@@ -461,15 +461,15 @@ def write_analysis_template(candidates: DataFrame, path: str, overwrite: bool =
     analysis_template(candidates).write.mode(mode).option("header", True).csv(path)
 
 
-def mechanism_summary(rows: DataFrame) -> DataFrame:
-    """Failures per mechanism with the scopes, first ten ids and implications they carry."""
+def mechanism_summary(rows: DataFrame, most_ids: int = 10) -> DataFrame:
+    """Failures per mechanism with the scopes, first ``most_ids`` ids and implications they carry."""
     rows = rows.withColumn("failure_mechanism", F.coalesce(F.nullif("failure_mechanism", F.lit("")), F.lit("Unclear")))
     keys = [*IDENTITY, "failure_mechanism"]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("failure_count"))
     ord_ = F.col("ord")
     parts = [
         unique_join(rows, keys, F.col("input_scope"), ord_, "affected_input_scopes"),
-        unique_join(first_rows(rows, keys, ["ord"], 10), keys, F.col("failure_uid"), ord_, "representative_failure_uids"),
+        unique_join(first_rows(rows, keys, ["ord"], most_ids), keys, F.col("failure_uid"), ord_, "representative_failure_uids"),
         unique_join(rows, keys, F.col("method_implication"), ord_, "method_implication_summary"),
     ]
     out = counts
@@ -574,14 +574,15 @@ def mark_duplicates(findings: DataFrame) -> DataFrame:
     )
 
 
-def group_review(findings: DataFrame) -> DataFrame:
+def group_review(findings: DataFrame, examples_of: int = 5) -> DataFrame:
+    """Per run, case and label: counts, the first finding and the first ``examples_of`` summaries."""
     keys = ["model_family", "method_name", "input_scope", "repetition", "matched_case_id", "detection_match"]
     counts = findings.groupBy(*keys).agg(
         F.min_by("finding_uid", "ord").alias("representative_finding_uid"),
         count_where(_is("detection_match", "Duplicate")).alias("duplicate_count"),
         count_where(_is("detection_match", "FP")).alias("fp_count"),
     )
-    examples = ordered_text(findings, keys, "summary", "ord", "\n---\n", 5, "example_summaries")
+    examples = ordered_text(findings, keys, "summary", "ord", "\n---\n", examples_of, "example_summaries")
     return counts.join(examples, keys)
 
 

@@ -21,7 +21,10 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` bounds the labelled rows per language that the classifier is fitted on (their expected number)."""
+    """``train_rows`` bounds the labelled rows per language that the classifier is fitted on (their expected number).
+
+    The ``most_languages`` most frequent languages are learned; the model has a column for each.
+    """
 
     features: int = 1 << 15
     train_rows: int = 5000
@@ -112,9 +115,8 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> tuple[list[st
 
     Rows are chosen by a hash of id and text at the rate that gives ``train_rows`` per language (all, where there are fewer).
     """
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(settings.most_languages + 1).collect()}
-    if len(sizes) > settings.most_languages:
-        raise ValueError(f"more than {settings.most_languages} languages")
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.most_languages)
+    sizes = {r["lang"]: r["count"] for r in common.collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((settings.features, 0))

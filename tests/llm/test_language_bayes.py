@@ -60,3 +60,10 @@ def test_parts_lose_nothing():
     for part in (1, 2, 3, 10, 64):
         assert np.allclose(language_id.text_scores(texts, weights, part), whole)
     assert np.allclose(whole[3], sum(weights[f] for f in slow_grams(texts[3], 512)))
+
+
+def test_the_most_frequent_languages_are_learned(spark):
+    rows = [(i, "abc " * 5, "aa") for i in range(12)] + [(20 + i, "xyz " * 5, "bb") for i in range(8)] + [(40, "qqq", "cc")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["lang_pred"] for r in language_id.identify(frame, Settings(features=256, most_languages=2)).collect()}
+    assert got == {"aa", "bb"}

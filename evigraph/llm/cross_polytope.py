@@ -124,7 +124,7 @@ class Trial:
         both = np.concatenate([queries, tried])
         for table in range(settings.tables):
             ys = [rotated(both, table, rotation, settings.seed) for rotation in range(rotations)]
-            self.turned.append([y[: self.count] for y in ys])
+            self.turned.append([y[: self.count].astype(np.float32) for y in ys])
             self.axes.append([ranked_axes(y[self.count :], 1)[0][:, 0] for y in ys])
         self.width = 2 * ys[0].shape[1]
 
@@ -134,8 +134,12 @@ class Trial:
             code = code * self.width + axes
         return code
 
-    def probed(self, table: int, rotations: int, probes: int) -> np.ndarray:
-        return nearest_codes(self.turned[table][:rotations], probes)
+    def probed(self, table: int, rotations: int, probes: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """(some of the queries, their nearest codes), a few queries at a time."""
+        step = max(1, (1 << 17) // probes)
+        for at in range(0, self.count, step):
+            some = slice(at, min(self.count, at + step))
+            yield some, nearest_codes([y[some] for y in self.turned[table][:rotations]], probes)
 
     def probes_for(self, near: slice, of: np.ndarray, tables: int, rotations: int, least: int, recall: float, most_probed: float = math.inf) -> int | None:
         """Probes, at least ``least``, by which the share ``recall`` of the points ``near`` is met by the queries numbered ``of``.
@@ -147,8 +151,11 @@ class Trial:
         while True:
             rank = np.full(len(of), every)
             for table in range(tables):
-                hit = self.probed(table, rotations, most)[of] == self.own(table, rotations)[near, None]
-                rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), every))
+                own = self.own(table, rotations)[near]
+                for some, probed in self.probed(table, rotations, most):
+                    pairs = np.flatnonzero((of >= some.start) & (of < some.stop))
+                    hit = probed[of[pairs] - some.start] == own[pairs, None]
+                    rank[pairs] = np.minimum(rank[pairs], np.where(hit.any(axis=1), hit.argmax(axis=1), every))
             needed = int(np.sort(rank)[max(0, int(np.ceil(recall * len(rank))) - 1)]) + 1
             if needed <= most or most == every:
                 return min(every, max(least, needed))
@@ -160,8 +167,9 @@ class Trial:
         """The mean over the queries of how many of the points share a probed code, a point counted once a table."""
         met = 0
         for table in range(tables):
-            own, probed = np.sort(self.own(table, rotations)[points]), self.probed(table, rotations, probes)
-            met += int((np.searchsorted(own, probed, "right") - np.searchsorted(own, probed, "left")).sum())
+            own = np.sort(self.own(table, rotations)[points])
+            for _, probed in self.probed(table, rotations, probes):
+                met += int((np.searchsorted(own, probed, "right") - np.searchsorted(own, probed, "left")).sum())
         return met / self.count
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evigraph.functions.scan import ordered_scan, row_no
+from evigraph.functions.scan import numbered, ordered_scan, row_no
 from evigraph.functions.values import contains_any, count_where, padded, within
 from evigraph.operators.context import snippet_text
 
@@ -347,8 +347,7 @@ def search_lines(lines: DataFrame, needles: list[str], file_order: Column, case_
     words = [n if case_sensitive else n.lower() for n in needles]
     found = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))
     rows = lines.withColumn("query", F.explode(found)).withColumn("_o", file_order)
-    window = W.partitionBy("query").orderBy("_o", "line_no")
-    ranked = within(rows.withColumn("match_no", F.row_number().over(window)), "match_no", max_matches)
+    ranked = numbered(rows, ["query"], [F.col("_o"), F.col("line_no")], "match_no", max_matches).withColumn("match_no", F.col("match_no").cast("int"))
     return ranked.withColumn("line", F.regexp_replace("line", r"^\s+|\s+\z", "")).drop("_o")
 
 

@@ -13,7 +13,7 @@ then only sets of different components meet. No link between different component
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -203,16 +203,27 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
     return both.filter((low >= needed) & (high >= needed)).filter(100 * common >= settings.percent * (n + m - common)).select("a", "b")
 
 
-def links(sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(a, b): similar pairs of points that join every component; ``sets`` is a table of point, n, shingles and bits, all points distinct."""
-    rows = persist_table(rare_prefixes(sets, settings), "prefixes", "none")
-    held = F.struct("point", "n", "place", "bits")
+def links(sets: DataFrame, settings: Settings = Settings(), close: DataFrame | None = None) -> DataFrame:
+    """(a, b): similar pairs of points that join every component; ``sets`` is a table of point, n, shingles and bits, all points distinct.
+
+    ``close`` may hold pairs (a, b) that another method takes for similar. They are verified first, and only sets that these
+    do not join are looked for among the prefixes.
+    """
+    rows, known, apart = rare_prefixes(sets, settings), None, F.lit(True)
+    if close is not None:
+        known = persist_table(verified(close, sets, settings), "close-links")
+        joined = components(known).select(F.col("node").alias("point"), F.col("root").alias("known"))
+        rows = rows.join(joined, "point", "left").withColumn("known", F.coalesce("known", "point"))
+        apart = F.col("x.known") != F.col("y.known")
+    rows = persist_table(rows, "prefixes", "none")
+    held = F.struct(*[c for c in rows.columns if c != "shingle"])
     middle = [F.min_by(held, F.xxhash64("point", F.lit(k))).alias(f"m{k}") for k in range(settings.centres)]
     meeting = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), *middle).filter("sets > 1")
     centres = meeting.select("shingle", F.explode(F.array(*[f"m{k}" for k in range(settings.centres)])).alias("m")).select("shingle", "m.*").distinct()
     x, y = rows.alias("x"), persist_table(centres, "centres").alias("y")
-    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.point") != F.col("y.point")) & may_link("x", "y", settings))
+    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.point") != F.col("y.point")) & apart & may_link("x", "y", settings))
     first = persist_table(verified(persist_table(_pairs(near), "pairs"), sets, settings), "links")
+    first = first if known is None else first.union(known)
 
     roots = components(first).withColumnRenamed("node", "point")
     grouped = persist_table(rows.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")), "grouped")
@@ -228,13 +239,13 @@ def links(sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
 NEAR_COPIES = Settings(shingle=5, percent=80)
 
 
-def one_of_each(docs: DataFrame, settings: Settings = NEAR_COPIES) -> DataFrame:
+def one_of_each(docs: DataFrame, settings: Settings = NEAR_COPIES, close: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with the rows of the smallest doc_id of each group of similar texts, all columns kept.
 
     Rows without an id or without a word stay. It is decided per row: a doc_id that also stands on another text goes only where its
     own group has a smaller one.
     """
-    found = similar_groups(docs, settings, with_text=True).filter("doc_id > component_id")
+    found = similar_groups(docs, settings, True, close).filter("doc_id > component_id")
     gone = persist_table(found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "gone").alias("g")
     rows, names = by_number(docs)
     own = F.unhex(F.sha2(whole_text(names["text"]).cast("binary"), 256))
@@ -242,14 +253,16 @@ def one_of_each(docs: DataFrame, settings: Settings = NEAR_COPIES) -> DataFrame:
     return rows.withColumn("_own", own).alias("r").join(gone, same, "left_anti").select(*[F.col(f"r.{c}") for c in names.values()]).toDF(*names)
 
 
-def similar_groups(docs: DataFrame, settings: Settings = Settings(), with_text: bool = False) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, settings: Settings = Settings(), with_text: bool = False, close: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(doc_id, n_shingles, component_id[, text_sha256]), one row per row of ``docs``.
 
     Sets of at least ``percent`` similarity are linked; component_id is the smallest doc_id reachable, the own one at most.
     Null, empty and blank texts have no shingle and are linked with nothing. A null doc_id never names a component unless it
     has no other. Repeated rows and equal sets are of one component. Texts of any length are read whole; shingles stand for
     themselves by 64 bits of hash, whole sets by 128. Only doc_id and text are read, so other columns cannot clash. An empty table
-    gives no rows.
+    gives no rows. ``close`` may give the pairs to verify first, see ``links``, from a table of points and the doc_id of their text.
     """
     rows = persist_table(marked(docs, settings, with_text), "marked", "none")
     classes = persist_table(rows.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -262,7 +275,8 @@ def similar_groups(docs: DataFrame, settings: Settings = Settings(), with_text:
     alive = persist_table(by_high_prefix(sets, settings), "high")
     able = persist_table(sets.join(alive, "point", "left_semi"), "able", "none")
 
-    roots = components(persist_table(links(able, settings), "near"))
+    guessed = None if close is None else close(persist_table(able.select("point", "digest").join(kept, "digest").select("point", F.col("first").alias("doc_id")), "asked"))
+    roots = components(persist_table(links(able, settings, guessed), "near"))
     linked = roots.select(F.col("node").alias("point"), "root").union(roots.select(F.col("root").alias("point"), "root").distinct())
     named = persist_table(linked.join(able.select("point", "digest"), "point").select("digest", "root"), "linked")
     members = classes.join(named, "digest", "left").filter("root IS NOT NULL OR copies > 1")

@@ -1,16 +1,25 @@
 """Batches of runs as their folders hold them: manifest, metadata, answer and trace of each run.
 
-A batch is listed once, whatever runs it has. What a file is follows from its name, and the files of a folder come together
-by the folder's path; a file that is not there leaves its default. Traces are read line by line, spread over tasks.
+Which folders there are follows from the manifest, so nothing is listed: a task opens the files of the folders dealt to it, and the
+driver holds none of their names. A file that is not there leaves its default. Traces are read line by line in the same way.
 """
 
 from __future__ import annotations
 
+import io
+import re
+from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.session import persist_table
 from evigraph.sources import lines
-from evigraph.sources.files import TRACE_FILES, resolve_traces
+from evigraph.sources.files import TRACE_FILES
 
 MANIFEST, METADATA, ANSWER = "batch_manifest.json", "run_metadata.json", "final_answer.json"
 RUN_FIELDS = "batch_id:string,run_id:string,run_dir:string,status:string,model_id:string,scope_id:string,provider:string,model:string,repetition:string"
@@ -30,22 +39,93 @@ def _name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)/*$", 1)
 
 
-def _texts(spark: SparkSession, root: str, name: str, out: str) -> DataFrame:
-    """(run_dir, out): the whole text of each file called ``name``."""
-    rows = spark.read.options(recursiveFileLookup=True, pathGlobFilter=name).text(root, wholetext=True)
-    return rows.select(_folder(lines.file_path()).alias("run_dir"), F.col("value").alias(out))
-
-
-def run_folders(spark: SparkSession, root: str) -> DataFrame:
-    """(run_dir, metadata, final_answer, trace_path, trace_exists) of every folder below ``root`` with a file of a run.
-
-    Metadata and answer are JSON texts, null where there is no file. Names are listed without reading any content.
+# Characters of text that a task gathers before it hands rows on.
+BATCH_CHARS = 8 << 20
+
+
+class _Store:
+    """The files below one root; a task keeps one connection per root."""
+
+    def __init__(self, root: str):
+        self.plain = re.sub(r"(?<=.)/+$", "", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root))
+        if self.plain == re.sub(r"(?<=.)/+$", "", root) or root.startswith("file:"):
+            self.store, self.base = pafs.LocalFileSystem(), self.plain
+        else:
+            uri = re.sub(r"^s3[an]:", "s3:", root)
+            self.store, self.base = pafs.FileSystem.from_uri(quote(uri, safe=":/@?&=%"))
+
+    def open(self, folder: str, name: str) -> BinaryIO | None:
+        """The file of a folder (a plain path) below the root, None where it is not there."""
+        inside = folder == self.plain or folder.startswith(self.plain.rstrip("/") + "/")
+        below = folder[len(self.plain) :].strip("/").split("/") if inside else [".."]
+        if below != [""] and any(part in ("", ".", "..") for part in below):
+            return None
+        try:
+            return self.store.open_input_stream("/".join([self.base.rstrip("/"), *filter(None, below), name]))
+        except (FileNotFoundError, NotADirectoryError):
+            return None
+
+
+def _read_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    stores: dict[str, _Store] = {}
+    columns, rows, chars = ["run_dir", "metadata", "final_answer", "trace"], [], 0
+    for batch in batches:
+        for root, run_dir in batch.itertuples(index=False):
+            store = stores.get(root) or stores.setdefault(root, _Store(root))
+            texts = []
+            for name in (METADATA, ANSWER):
+                found = store.open(run_dir, name)
+                if found is None:
+                    texts.append(None)
+                else:
+                    with found:
+                        texts.append(found.read().decode("utf-8", "replace"))
+            trace = None
+            for name in TRACE_FILES:
+                found = store.open(run_dir, name)
+                if found is not None:
+                    found.close()
+                    trace = name
+                    break
+            rows.append((run_dir, *texts, trace))
+            chars += sum(len(t or "") for t in texts) + 200
+            if chars > BATCH_CHARS:
+                yield pd.DataFrame(rows, columns=columns, dtype=object)
+                rows, chars = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+
+def _read_traces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of traces, ended by a line feed and without it, numbered from 0; a byte order mark at the head is left out."""
+    stores: dict[str, _Store] = {}
+    columns, rows, chars = ["run_id", "file", "line_ord", "value"], [], 0
+    for batch in batches:
+        for run_id, root, file in batch.itertuples(index=False):
+            store = stores.get(root) or stores.setdefault(root, _Store(root))
+            found = store.open(*file.rsplit("/", 1))
+            if found is None:
+                raise FileNotFoundError(file)
+            with io.BufferedReader(found) as file_lines:
+                for no, line in enumerate(file_lines):
+                    text = line.removesuffix(b"\n").decode("utf-8", "replace")
+                    rows.append((run_id, file, no, text.removeprefix(lines.BYTE_ORDER_MARK) if no == 0 else text))
+                    chars += len(text) + 200
+                    if chars > BATCH_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, chars = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def run_folders(folders: DataFrame) -> DataFrame:
+    """folders(root, run_dir) to (run_dir, metadata, final_answer, trace_path, trace_exists), one row per folder below its root.
+
+    Metadata and answer are JSON texts, null where there is no file. Folders are shared out over tasks, which open their files.
     """
-    glob = "{" + ",".join([METADATA, ANSWER, *TRACE_FILES]) + "}"
-    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob).load(root).select("path")
-    files = listed.select(_folder(F.col("path")).alias("run_dir"), _name(F.col("path")).alias("file_name"))
-    folders = resolve_traces(files.select("run_dir").distinct(), files)
-    return folders.join(_texts(spark, root, METADATA, "metadata"), "run_dir", "left").join(_texts(spark, root, ANSWER, "final_answer"), "run_dir", "left")
+    read = folders.select("root", "run_dir").distinct().mapInPandas(_read_folders, "run_dir string, metadata string, final_answer string, trace string")
+    name = F.coalesce("trace", F.lit(TRACE_FILES[0]))
+    return read.select("run_dir", "metadata", "final_answer", F.concat_ws("/", "run_dir", name).alias("trace_path"), F.col("trace").isNotNull().alias("trace_exists"))
 
 
 def _described(rows: DataFrame) -> DataFrame:
@@ -60,9 +140,10 @@ def load_batch(spark: SparkSession, root: str) -> DataFrame:
     manifest does not name is taken from the metadata, an id at last from the folder's name.
     """
     document = spark.read.schema(f"batch_id string, runs array<struct<{RUN_FIELDS}>>").options(multiLine=True, mode="FAILFAST").json(f"{root.rstrip('/')}/{MANIFEST}")
-    listed = document.select(F.col("batch_id").alias("_batch"), F.posexplode("runs").alias("ord", "r")).filter("r.status = 'success'")
-    runs = listed.withColumn("run_dir", plain_path(F.col("r.run_dir")))
-    rows = _described(runs.join(run_folders(spark, root), "run_dir", "left"))
+    here = F.regexp_replace(lines.file_path(), "/[^/]*$", "").alias("root")
+    listed = document.select(F.col("batch_id").alias("_batch"), here, F.posexplode("runs").alias("ord", "r")).filter("r.status = 'success'")
+    runs = persist_table(listed.withColumn("run_dir", plain_path(F.col("r.run_dir"))), "listed-runs")
+    rows = _described(runs.join(run_folders(runs.filter("run_dir IS NOT NULL")), "run_dir", "left"))
     named = lambda *columns: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit(""))
     return rows.select(
         "ord",
@@ -85,8 +166,9 @@ def load_run(spark: SparkSession, run_dir: str) -> DataFrame:
     """The one run of a folder, in the columns of ``load_batch``; its metadata has to be there."""
     folder = run_dir.rstrip("/")
     read = spark.read.text(f"{folder}/{METADATA}", wholetext=True)
-    metadata = read.select(F.col("value").alias("metadata"), _folder(lines.file_path()).alias("run_dir"))
-    rows = _described(metadata.join(run_folders(spark, folder).drop("metadata"), "run_dir", "left"))
+    here = F.regexp_replace(lines.file_path(), "/[^/]*$", "").alias("root")
+    metadata = read.select(F.col("value").alias("metadata"), here, _folder(lines.file_path()).alias("run_dir"))
+    rows = _described(metadata.join(run_folders(metadata).drop("metadata"), "run_dir", "left"))
     text = lambda name: F.coalesce(name, F.lit(""))
     return rows.select(
         F.lit(0).alias("ord"),
@@ -104,8 +186,10 @@ def load_run(spark: SparkSession, run_dir: str) -> DataFrame:
 
 def trace_rows(spark: SparkSession, root: str, runs: DataFrame, schema: str) -> DataFrame:
     """(run_id, line_ord, fields): the lines of each run's trace; a line that holds no object fails. Blank lines are skipped."""
-    read = lines.numbered_lines(spark, root, "{" + ",".join(TRACE_FILES) + "}")
-    wanted = runs.filter("trace_exists").select("run_id", F.col("trace_path").alias("file"))
-    own = read.withColumn("file", plain_path(F.col("file"))).join(wanted, "file")
-    text = own.select("run_id", "file", *lines.PLACE, "value")
+    manifest = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{MANIFEST}").select(lines.file_path().alias("path"))
+    here = F.lit(manifest.first()["path"].rpartition("/")[0]).alias("root")
+    wanted = runs.filter("trace_exists").select("run_id", here, F.col("trace_path").alias("file"))
+    read = wanted.mapInPandas(_read_traces, "run_id string, file string, line_ord long, value string")
+    zero = F.lit(0).cast("long")
+    text = read.select("run_id", "file", zero.alias("file_ord"), "line_ord", zero.alias("ord"), "value")
     return lines.json_records(text, schema, keep=["run_id"]).drop("file_ord", "ord")

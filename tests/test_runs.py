@@ -58,3 +58,25 @@ def test_damaged_files_fail(spark, batch):
         runs.load_batch(spark, str(batch)).collect()
     with pytest.raises(Exception):
         runs.load_batch(spark, str(batch / "models")).collect()
+
+
+def test_folders_are_not_listed(spark, batch):
+    """The driver knows the manifest alone: no file of a run is among the files that a plan names."""
+    named = [f for f in runs.load_batch(spark, str(batch)).inputFiles() if "/models/" in f]
+    loaded = runs.load_batch(spark, str(batch))
+    assert named == [] and [f for f in runs.trace_rows(spark, str(batch), loaded, "step int").inputFiles() if "/models/" in f] == []
+
+
+def test_places_of_folders(spark, batch, tmp_path):
+    """Folders outside the batch are not read; a null folder, a byte order mark, line ends and bytes that are no text."""
+    outside = tmp_path / "elsewhere" / "rep_1"
+    inside = batch / "models" / "rep_9"
+    write(outside / "run_metadata.json", {"run_id": "outside"})
+    write(inside / "run_metadata.json", {"run_id": "inside"})
+    (inside / "tool_trace.jsonl").write_bytes(b'\xef\xbb\xbf{"step": 1, "t": "\xff"}\r\n   \n{"step": 2}')
+    listed = [{"status": "success", "run_dir": d} for d in (str(outside), f"{batch}/../elsewhere/rep_1", f"file://{inside}/", None)]
+    write(batch / "batch_manifest.json", {"batch_id": "b", "runs": listed})
+    loaded = runs.load_batch(spark, str(batch))
+    assert [(r["ord"], r["run_id"], r["trace_exists"]) for r in loaded.orderBy("ord").collect()] == [(0, "rep_1", False), (1, "rep_1", False), (2, "inside", True), (3, "", False)]
+    traced = runs.trace_rows(spark, str(batch), loaded, "step int, t string").orderBy("line_ord").collect()
+    assert [(r["run_id"], r["line_ord"], r["step"], r["t"]) for r in traced] == [("inside", 0, 1, "�"), ("inside", 2, 2, None)]

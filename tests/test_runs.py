@@ -77,6 +77,6 @@ def test_places_of_folders(spark, batch, tmp_path):
     listed = [{"status": "success", "run_dir": d} for d in (str(outside), f"{batch}/../elsewhere/rep_1", f"file://{inside}/", None)]
     write(batch / "batch_manifest.json", {"batch_id": "b", "runs": listed})
     loaded = runs.load_batch(spark, str(batch))
-    assert [(r["ord"], r["run_id"], r["trace_exists"]) for r in loaded.orderBy("ord").collect()] == [(0, "rep_1", False), (1, "rep_1", False), (2, "inside", True), (3, "", False)]
+    assert [(r["ord"], r["run_id"], r["trace_exists"]) for r in loaded.orderBy("ord").collect()] == [(0, "rep_1", False), (1, "rep_1", False), (2, "inside", True), (3, None, False)]
     traced = runs.trace_rows(spark, str(batch), loaded, "step int, t string").orderBy("line_ord").collect()
     assert [(r["run_id"], r["line_ord"], r["step"], r["t"]) for r in traced] == [("inside", 0, 1, "�"), ("inside", 2, 2, None)]

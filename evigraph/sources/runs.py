@@ -39,6 +39,11 @@ def _name(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)/*$", 1)
 
 
+def _batch_root(manifest: Column) -> Column:
+    """The folder of a manifest's path; the manifest may be a folder of parts, as Spark writes it."""
+    return F.regexp_replace(manifest, "/" + MANIFEST.replace(".", r"\.") + "(/[^/]*)?$", "")
+
+
 # Characters of text that a task gathers before it hands rows on.
 BATCH_CHARS = 8 << 20
 
@@ -140,7 +145,7 @@ def load_batch(spark: SparkSession, root: str) -> DataFrame:
     manifest does not name is taken from the metadata, an id at last from the folder's name.
     """
     document = spark.read.schema(f"batch_id string, runs array<struct<{RUN_FIELDS}>>").options(multiLine=True, mode="FAILFAST").json(f"{root.rstrip('/')}/{MANIFEST}")
-    here = F.regexp_replace(lines.file_path(), "/[^/]*$", "").alias("root")
+    here = _batch_root(lines.file_path()).alias("root")
     listed = document.select(F.col("batch_id").alias("_batch"), here, F.posexplode("runs").alias("ord", "r")).filter("r.status = 'success'")
     runs = persist_table(listed.withColumn("run_dir", plain_path(F.col("r.run_dir"))), "listed-runs")
     rows = _described(runs.join(run_folders(runs.filter("run_dir IS NOT NULL")), "run_dir", "left"))
@@ -186,8 +191,8 @@ def load_run(spark: SparkSession, run_dir: str) -> DataFrame:
 
 def trace_rows(spark: SparkSession, root: str, runs: DataFrame, schema: str) -> DataFrame:
     """(run_id, line_ord, fields): the lines of each run's trace; a line that holds no object fails. Blank lines are skipped."""
-    manifest = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{MANIFEST}").select(lines.file_path().alias("path"))
-    here = F.lit(manifest.first()["path"].rpartition("/")[0]).alias("root")
+    manifest = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{MANIFEST}").select(_batch_root(lines.file_path()).alias("root"))
+    here = F.lit(manifest.first()["root"]).alias("root")
     wanted = runs.filter("trace_exists").select("run_id", here, F.col("trace_path").alias("file"))
     read = wanted.mapInPandas(_read_traces, "run_id string, file string, line_ord long, value string")
     zero = F.lit(0).cast("long")

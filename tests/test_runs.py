@@ -80,3 +80,13 @@ def test_places_of_folders(spark, batch, tmp_path):
     assert [(r["ord"], r["run_id"], r["trace_exists"]) for r in loaded.orderBy("ord").collect()] == [(0, "rep_1", False), (1, "rep_1", False), (2, "inside", True), (3, None, False)]
     traced = runs.trace_rows(spark, str(batch), loaded, "step int, t string").orderBy("line_ord").collect()
     assert [(r["run_id"], r["line_ord"], r["step"], r["t"]) for r in traced] == [("inside", 0, 1, "�"), ("inside", 2, 2, None)]
+
+
+def test_manifest_of_parts(spark, batch):
+    """A manifest that Spark wrote is a folder of parts; the runs are found beside it all the same."""
+    document = (batch / "batch_manifest.json").read_text()
+    (batch / "batch_manifest.json").unlink()
+    write(batch / "batch_manifest.json" / "part-0.json", document)
+    loaded = runs.load_batch(spark, str(batch))
+    assert [(r["model"], r["trace_exists"]) for r in loaded.orderBy("ord").collect()] == [("m1", True), ("", True), ("", False)]
+    assert runs.trace_rows(spark, str(batch), loaded, "step int").count() == 3

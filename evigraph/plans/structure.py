@@ -84,18 +84,19 @@ def build_chains(
     chains = persist_table(search.chain_targets(targets, max_chains), "chains")
     seeds = persist_table(search.seed_nodes(chains, accesses, nodes), "seeds")
     incidence = persist_table(search.capped_incidence(edges, max_fanout), "incidence")
-    visited = search.bounded_search(seeds, search.search_steps(incidence, nodes), max_depth)
+    names = search.chain_names(seeds)
+    visited = search.bounded_search(seeds, names, search.search_steps(incidence, nodes), max_depth)
     found = persist_table(search.formal_nodes(visited, nodes), "chain-nodes")
     touched = persist_table(search.visited_edges(visited, incidence, max_depth), "chain-edges")
     kept_nodes = persist_table(search.ranked_nodes(found, max_nodes), "kept-nodes")
-    kept_edges = persist_table(search.ranked_edges(touched, kept_nodes, max_edges), "kept-edges")
+    kept_edges = persist_table(search.ranked_edges(search.induced_edges(touched, kept_nodes), max_edges), "kept-edges")
     locations = persist_table(search.location_groups(kept_nodes, kept_edges, nodes), "chain-locations")
     return {
         "chains": chains,
-        "nodes": kept_nodes,
-        "edges": kept_edges,
-        "locations": locations,
-        "diagnostics": search.chain_diagnostics(chains, seeds, found, touched, kept_nodes, kept_edges, locations, max_nodes, max_edges),
+        "nodes": search.chain_rows(kept_nodes, names),
+        "edges": search.chain_rows(kept_edges, names),
+        "locations": search.chain_locations(locations, names),
+        "diagnostics": search.chain_diagnostics(chains, seeds, found, touched, kept_nodes, kept_edges, locations, names, max_nodes, max_edges),
     }
 
 

@@ -226,7 +226,8 @@ def links(sets: DataFrame, settings: Settings = Settings(), close: DataFrame | N
     first = first if known is None else first.union(known)
 
     roots = components(first).withColumnRenamed("node", "point")
-    grouped = persist_table(rows.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")), "grouped")
+    # the components of the guessed pairs are part of these
+    grouped = persist_table(rows.drop("known").join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")), "grouped")
     several = grouped.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shingle")
     left = persist_table(grouped.join(persist_table(several, "several"), "shingle", "left_semi"), "open")
     x, y = left.alias("x"), left.alias("y")

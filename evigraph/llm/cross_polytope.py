@@ -2,7 +2,7 @@
 
 Three rounds of random signs and a fast Hadamard transform turn a unit vector; its hash is the nearest signed axis.
 A table joins the axes of several such rotations to one code, a query probes the codes that are nearest to its own in
-every table, and the candidates are ranked by exact distance. Equal vectors are one point with the smallest ids that
+every table (codes and what they meet stay packed, a row per query, table and part of a table), and the candidates are ranked by exact distance. Equal vectors are one point with the smallest ids that
 any answer can need, so a vector that many rows share costs no more than one.
 """
 
@@ -40,6 +40,7 @@ class Settings:
     seed: int = 11
     shard_rows: int = 4096
     probe_rows: int = 200_000
+    part_rows: int = 1 << 20
     sample: int = 128
     points: int = 2048
     recall: float = 0.97
@@ -198,6 +199,11 @@ def cheapest(queries: np.ndarray, near: np.ndarray, of: np.ndarray, points: np.n
     return plan
 
 
+def _part(code: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a table that a code belongs to."""
+    return (code * 0x9E3779B97F4A7C1 >> 24) % parts
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -238,19 +244,65 @@ def _nearest_of_length(rows: DataFrame, neighbours: int, settings: Settings, que
     total = points.count()
     seed = settings.seed
 
-    def coded(tables: int, rotations: int, probe: int):
+    def coded(tables: int, rotations: int, parts: int):
+        """The points of a batch, packed by table and part of the codes."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 512):
+                    some = batch.iloc[at : at + 512]
+                    matrix, names, shards = _matrix(some["embedding"]), some["point"].to_numpy(dtype=np.int64), some["shard"].to_numpy(dtype=np.int32)
+                    for table in range(tables):
+                        code = codes(matrix, table, rotations, 1, seed)[:, 0]
+                        part = _part(code, parts)
+                        own = [part == p for p in np.unique(part)]
+                        yield pd.DataFrame({
+                            "table": np.int32(table), "part": np.unique(part).astype(np.int32), "codes": [code[o] for o in own],
+                            "points": [names[o] for o in own], "shards": [shards[o] for o in own],
+                        })
+
+        return run
+
+    def probed(tables: int, rotations: int, probe: int, parts: int):
+        """The codes that a query probes, packed by table and part."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for at in range(0, len(batch), 512):
-                    part = batch.iloc[at : at + 512]
-                    matrix, names = _matrix(part["embedding"]), part["point"].to_numpy()
+                    some = batch.iloc[at : at + 512]
+                    matrix, names = _matrix(some["embedding"]), some["query"].tolist()
                     for table in range(tables):
                         found = codes(matrix, table, rotations, probe, seed)
-                        yield pd.DataFrame({"table": np.int32(table), "code": found.ravel(), "point": np.repeat(names, found.shape[1])})
+                        part = _part(found, parts)
+                        rows = [(table, p, q, row[own == p]) for q, row, own in zip(names, found, part, strict=True) for p in np.unique(own).tolist()]
+                        yield pd.DataFrame(rows, columns=["table", "part", "query", "codes"])
 
         return run
 
-    schema = "table int, code long, point long"
+    def meet(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """The points of a part of a table whose code a query probes, a row per query."""
+        rows = []
+        if len(index) and len(asked):
+            code = np.concatenate(index["codes"].tolist())
+            order = np.argsort(code, kind="stable")
+            code, names, shards = code[order], np.concatenate(index["points"].tolist())[order], np.concatenate(index["shards"].tolist())[order]
+            for query, wanted in zip(asked["query"].tolist(), asked["codes"], strict=True):
+                low, high = np.searchsorted(code, wanted, "left"), np.searchsorted(code, wanted, "right")
+                size = high - low
+                if size.any():
+                    at = np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)
+                    rows.append((query, names[at], shards[at]))
+        return pd.DataFrame(rows, columns=["query", "points", "shards"])
+
+    def gathered(group: pd.DataFrame) -> pd.DataFrame:
+        """Each query's points of all tables, once, packed by shard."""
+        rows = []
+        for query, own in group.groupby("query"):
+            names, first = np.unique(np.concatenate(own["points"].tolist()), return_index=True)
+            at = np.concatenate(own["shards"].tolist())[first]
+            rows.extend((shard, query, names[at == shard]) for shard in np.unique(at).tolist())
+        return pd.DataFrame(rows, columns=["shard", "query", "found"])
+
     distinct_queries = queries.select(F.col("point").alias("query"), "embedding").distinct()
     shards = tasks_for(spark, total, settings.shard_rows)
     shard = F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard")
@@ -291,14 +343,18 @@ def _nearest_of_length(rows: DataFrame, neighbours: int, settings: Settings, que
         some = points.select("point", "embedding").orderBy(F.xxhash64("point", F.lit(seed + 1)), "point").limit(settings.points).toPandas()
         tables, rotations, probes = cheapest(_matrix(firsts["asked"]), _matrix(pairs["embedding"]), of, _matrix(some["embedding"]), total, settings)
 
-    index = points.select("point", "embedding").mapInPandas(coded(tables, rotations, 1), schema)
-    # as many tasks as the probed codes need: a code is a row, and a task makes about ``probe_rows`` of them
-    asked_tasks = max(1, math.ceil(distinct_queries.count() * tables * probes / settings.probe_rows))
-    dealt = distinct_queries.select(F.col("query").alias("point"), "embedding").repartition(asked_tasks)
-    probing = dealt.mapInPandas(coded(tables, rotations, probes), schema)
-    # neither side is small, whatever its size is guessed to be behind Python code
-    met = index.hint("merge").join(probing.withColumnRenamed("point", "query"), ["table", "code"]).select(shard, "query", "point")
-    packed = persist_table(met.groupBy("shard", "query").agg(F.collect_set("point").alias("found")), "candidates")
+    asked_count = distinct_queries.count()
+    # a part of a table is one task: it holds ``part_rows`` points and probed codes at most, but for chance
+    parts = max(1, math.ceil(max(total, asked_count * probes) / settings.part_rows))
+    index = points.select(shard, "point", "embedding").mapInPandas(
+        coded(tables, rotations, parts), "table int, part int, codes array<long>, points array<long>, shards array<int>"
+    )
+    # as many tasks as the probed codes need: a task makes about ``probe_rows`` of them
+    asked_tasks = max(1, math.ceil(asked_count * tables * probes / settings.probe_rows))
+    probing = distinct_queries.repartition(asked_tasks).mapInPandas(probed(tables, rotations, probes, parts), "table int, part int, query long, codes array<long>")
+    met = index.groupBy("table", "part").cogroup(probing.groupBy("table", "part")).applyInPandas(meet, "query long, points array<long>, shards array<int>")
+    some = F.pmod(F.xxhash64("query"), F.lit(tasks_for(spark, asked_count, 64))).alias("_some")
+    packed = persist_table(met.withColumn("_some", some).groupBy("_some").applyInPandas(gathered, "shard int, query long, found array<long>"), "candidates")
     asking = packed.join(distinct_queries, "query").select("shard", F.lit(False).alias("is_point"), F.col("query").alias("id"), "found", "embedding")
     local = ranked(asking)
     by_score = W.partitionBy("query").orderBy("score", "vec_id")

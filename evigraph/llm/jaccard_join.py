@@ -263,9 +263,9 @@ def similar_groups(
     Null, empty and blank texts have no shingle and are linked with nothing. A null doc_id never names a component unless it
     has no other. Repeated rows and equal sets are of one component. Texts of any length are read whole; shingles stand for
     themselves by 64 bits of hash, whole sets by 128. Only doc_id and text are read, so other columns cannot clash. An empty table
-    gives no rows. ``close`` may give the pairs to verify first, see ``links``, from a table of points and the doc_id of their text.
+    gives no rows. ``close`` may give the pairs to verify first, see ``links``, from a table (point, text_sha256) of the texts of each point.
     """
-    rows = persist_table(marked(docs, settings, with_text), "marked", "none")
+    rows = persist_table(marked(docs, settings, with_text or close is not None), "marked", "none")
     classes = persist_table(rows.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     kept = persist_table(by_low_prefix(rows, classes, settings).select("digest", "first"), "low")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("t")
@@ -276,7 +276,7 @@ def similar_groups(
     alive = persist_table(by_high_prefix(sets, settings), "high")
     able = persist_table(sets.join(alive, "point", "left_semi"), "able", "none")
 
-    guessed = None if close is None else close(persist_table(able.select("point", "digest").join(kept, "digest").select("point", F.col("first").alias("doc_id")), "asked"))
+    guessed = None if close is None else close(persist_table(able.select("point", "digest").join(rows.select("digest", "text_sha256"), "digest").select("point", "text_sha256").distinct(), "asked"))
     roots = components(persist_table(links(able, settings, guessed), "near"))
     linked = roots.select(F.col("node").alias("point"), "root").union(roots.select(F.col("root").alias("point"), "root").distinct())
     named = persist_table(linked.join(able.select("point", "digest"), "point").select("digest", "root"), "linked")

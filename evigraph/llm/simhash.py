@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm import jaccard_join
+from evigraph.llm.common import whole_text
 from evigraph.llm.components import components
 from evigraph.session import persist_table
 
@@ -55,8 +56,8 @@ def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42, step: i
     return int(np.packbits(set_bits * 2 > len(first), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, settings: Settings = Settings(), with_text: bool = False) -> DataFrame:
+    """(doc_id, fp[, text_sha256]) with the fingerprint as a signed long; null text counts as empty."""
     shingle, seed = settings.shingle, settings.seed
 
     @F.pandas_udf("long")
@@ -64,7 +65,8 @@ def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         found = [text_fingerprint(t if isinstance(t, str) else None, shingle, seed) for t in texts]
         return pd.Series(np.array(found, dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint("text").alias("fp"))
+    more = [F.unhex(F.sha2(whole_text("text").cast("binary"), 256)).alias("text_sha256")] if with_text else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint("text").alias("fp"), *more)
 
 
 class VantageTree:
@@ -224,24 +226,30 @@ NEAR_COPIES = Settings(shingle=5)
 
 
 def close_pairs(docs: DataFrame, points: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(a, b): points that join every group whose fingerprints are linked; ``points`` (point, doc_id) names the text of each.
+    """(a, b): points that join every group whose fingerprints are linked; ``points`` (point, text_sha256) names the texts of each.
 
-    Points of one fingerprint are joined to the least of them, which stands for them in the tree.
+    Every row of ``docs`` gets its fingerprint and every distinct fingerprint is in the tree, also those of texts that are of no
+    point. Points are joined along the links of their fingerprints and, as a link may lead to a fingerprint without a point, to the
+    least point of those that are linked to the same one. Points of one fingerprint are joined to the least of them, which stands for them.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(points.select("doc_id").distinct(), "doc_id", "left_semi")
-    named = points.join(fingerprints(texts, settings), "doc_id").groupBy("point").agg(F.min("fp").alias("fp"))
-    named = persist_table(named, "point-fingerprints")
+    prints = persist_table(fingerprints(docs, settings, True).select("fp", "text_sha256").distinct(), "fingerprints")
+    near = persist_table(links(persist_table(prints.select("fp").distinct(), "distinct-fingerprints"), settings), "fingerprint-links")
+    named = persist_table(points.join(prints, "text_sha256").select("point", "fp").distinct(), "point-fingerprints")
     centres = persist_table(named.groupBy("fp").agg(F.min("point").alias("centre")), "centres")
     equal = named.join(centres, "fp").filter("point <> centre").select(F.col("centre").alias("a"), F.col("point").alias("b"))
     side = lambda fp, point: centres.select(F.col("fp").alias(fp), F.col("centre").alias(point))
-    found = links(centres.select("fp"), settings).withColumnsRenamed({"a": "fa", "b": "fb"}).join(side("fa", "x"), "fa").join(side("fb", "y"), "fb")
-    return persist_table(equal.union(found.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "close")
+    along = near.withColumnsRenamed({"a": "fa", "b": "fb"}).join(side("fa", "x"), "fa").join(side("fb", "y"), "fb").select("x", "y")
+    ends = near.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(near.select("b", "b")).distinct()
+    grouped = persist_table(ends.join(centres, "fp").select("root", F.col("centre").alias("y")), "fingerprint-groups")
+    over = grouped.groupBy("root").agg(F.min("y").alias("x")).join(grouped, "root").select("x", "y")
+    found = along.union(over).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return persist_table(equal.union(found).distinct(), "close")
 
 
 def one_of_each(docs: DataFrame, settings: Settings = NEAR_COPIES) -> DataFrame:
     """``docs`` with the row of the smallest doc_id of each group of near copies.
 
-    Fingerprints link through the tree first, and these links are verified on the whole sets of runs. At a similarity of 0.8
+    Fingerprints of all texts link through the tree first, and these links are verified on the whole sets of runs. At a similarity of 0.8
     fingerprints differ in some ten bits, so what they miss is looked for among the sets that they have not joined.
     """
     return jaccard_join.one_of_each(docs, close=lambda points: close_pairs(docs, points, settings))

@@ -178,6 +178,10 @@ def a11(spark, sf):
     return rows.select("batch_id", "run_id", "run_dir", "model", "answer_chars", "trace")
 
 
+#: Runs that one part of a manifest holds, about.
+MANIFEST_RUNS = 100_000
+
+
 def _write_batch(root, batches):
     """Run folders of a batch; some have no answer or no trace, and the name of the trace differs."""
     for batch in batches:
@@ -210,11 +214,13 @@ def a11_folders(spark, sf):
         F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("run"), "conv_id", F.lit("_"), "turn")).alias("run_id"), F.concat(F.lit(f"{root}/runs/c"), "conv_id", F.lit("/rep_"), "turn").alias("run_dir"),
         F.when(F.col("conv_id") % 5 == 0, "failed").otherwise(F.lit("success")).alias("status"), F.concat(F.lit("c"), "conv_id").alias("scope_id"), F.col("turn").alias("repetition"),
     )
-    manifest = conv.groupBy().agg(F.lit("batch").alias("batch_id"), F.collect_list(run).alias("runs"))
-    manifest.coalesce(1).write.json(f"{root}/{runs.MANIFEST}")
+    # a manifest of parts, one file each, so that no task holds all runs
+    part = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(conv.count() // MANIFEST_RUNS + 1))
+    manifest = conv.groupBy(part.alias("_part")).agg(F.lit("batch").alias("batch_id"), F.collect_list(run).alias("runs")).drop("_part")
+    manifest.write.option("maxRecordsPerFile", 1).json(f"{root}/{runs.MANIFEST}")
     loaded = persist_table(runs.load_batch(spark, root), "loaded-runs")
     traced = runs.trace_rows(spark, root, loaded, "step int, size long").groupBy("run_id").agg(F.count(F.lit(1)).alias("steps"), F.sum("size").alias("traced_chars"))
-    rows = loaded.join(traced, "run_id", "left").fillna(0, ["steps", "traced_chars"])
+    rows = loaded.join(traced.hint("merge"), "run_id", "left").fillna(0, ["steps", "traced_chars"])
     trace = F.regexp_extract("trace_path", "([^/]*)$", 1).alias("trace")
     answer = F.length(F.get_json_object("final_answer", "$.text")).alias("answer_chars")
     return rows.select("batch_id", "run_id", "model", "input_scope", "repetition", answer, trace, "trace_exists", "steps", "traced_chars")

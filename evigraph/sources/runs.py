@@ -130,7 +130,9 @@ def run_folders(folders: DataFrame) -> DataFrame:
     """
     read = folders.select("root", "run_dir").distinct().mapInPandas(_read_folders, "run_dir string, metadata string, final_answer string, trace string")
     name = F.coalesce("trace", F.lit(TRACE_FILES[0]))
-    return read.select("run_dir", "metadata", "final_answer", F.concat_ws("/", "run_dir", name).alias("trace_path"), F.col("trace").isNotNull().alias("trace_exists"))
+    found = read.select("run_dir", "metadata", "final_answer", F.concat_ws("/", "run_dir", name).alias("trace_path"), F.col("trace").isNotNull().alias("trace_exists"))
+    # Spark takes the texts for as small as the paths that they are read from; a join must not broadcast them
+    return found.hint("merge")
 
 
 def _described(rows: DataFrame) -> DataFrame:

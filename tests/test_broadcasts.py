@@ -1,6 +1,7 @@
 """Joins with tables that grow, though Spark takes them for small, broadcast nothing; their rows are those of plain code."""
 
 from evigraph.operators import graph
+from evigraph.sources import runs
 
 
 def broadcasts(df):
@@ -43,3 +44,17 @@ def test_modules_are_not_broadcast(spark):
     met = instances.join(graph.last_modules(modules), ["graph_id", "module_type"])
     assert broadcasts(met) == 0 and [r["child_loc"]["file"] for r in met.collect()] == ["t.sv"]
     assert broadcasts(graph.resolve_instances(instances, modules)) == 0 == broadcasts(graph.unresolved_warnings(instances, modules))
+
+
+def test_texts_of_run_folders_are_not_broadcast(spark, tmp_path):
+    """A manifest of two parts, the texts of whose folders are read by tasks."""
+    root = tmp_path / "batch"
+    (root / runs.MANIFEST).mkdir(parents=True)
+    for i in range(2):
+        folder = root / f"rep_{i}"
+        folder.mkdir()
+        (folder / runs.METADATA).write_text('{"run_id": "m%d"}' % i)
+        (root / runs.MANIFEST / f"part-{i}.json").write_text('{"batch_id": "b", "runs": [{"status": "success", "run_dir": "%s"}]}' % folder)
+    loaded = runs.load_batch(spark, str(root))
+    assert broadcasts(loaded) == 0
+    assert sorted((r["batch_id"], r["run_id"]) for r in loaded.collect()) == [("b", "m0"), ("b", "m1")]
